@@ -146,12 +146,12 @@ def scan(data: bytes) -> dict:
         end -= 128
         tags.setdefault("TIT2", data[end + 3 : end + 33].decode("latin-1").rstrip("\0 "))
     p = id3_bytes
-    frames, junk, resyncs, good, bad, table, truncated, locked = [], 0, 0, 0, 0, None, False, False
+    frames, junk, resyncs, good, bad, table, truncated, locked, kind = [], 0, 0, 0, 0, None, False, False, None
     kinds, samples, duration = set(), 0, Fraction(0)
     by_rate: dict[int, int] = {}
     while p + 4 <= end:
         h = header(int.from_bytes(data[p : p + 4], "big"))
-        if h and not locked:  # a second header of the same kind, or the end, confirms a first
+        if h and (not locked or (h.version, h.layer, h.rate) != kind):  # a second header of the kind, or the end, confirms
             q = p + h.size
             nxt = header(int.from_bytes(data[q : q + 4], "big")) if q + 4 <= end else None
             if q != end and not (nxt and (nxt.version, nxt.layer, nxt.rate) == (h.version, h.layer, h.rate)):
@@ -167,7 +167,7 @@ def scan(data: bytes) -> dict:
         if p + h.size > end:
             truncated = True
             break
-        locked = True
+        locked, kind = True, (h.version, h.layer, h.rate)
         if not frames and table is None and (table := read_table(data[p : p + h.size], h)):
             p += h.size
             continue
