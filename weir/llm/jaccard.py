@@ -123,7 +123,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
-    """id, n, tokens (bytes) of the documents named; the smaller side is sent if it is small."""
+    """id, n, tokens (bytes) of the documents named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
@@ -139,20 +139,21 @@ def _sets(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
                     rows, held = [], 0
             yield _batch(rows, schema)
 
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(small(ids.withColumnRenamed("id", "doc_id"), count), "doc_id", "left_semi")
-    return chosen.mapInArrow(run, "id long, n long, tokens binary")
+    return _chosen(docs, ids, count).mapInArrow(run, "id long, n long, tokens binary")
 
 
-def _index(sets: DataFrame, frequent, percent: int) -> DataFrame:
-    """token, id, n, l: the adaptive prefix of each set."""
+def _index(docs: DataFrame, ids: DataFrame, count: int, frequent, percent: int) -> DataFrame:
+    """id, n, m, l, prefix: the adaptive prefix of each document named, its length m, and l."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = frequent.value
-        schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("l", pa.int32())])
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("l", pa.int32()), ("prefix", pa.list_(pa.int64()))])
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            rows, held = [], 0
             for i in range(batch.num_rows):
-                s = np.frombuffer(batch.column(2)[i].as_py(), "int64")
+                s = shingles(batch.column(1)[i].as_py()).view("int64")
+                if not len(s):
+                    continue
                 base = len(s) - need(len(s), percent) + 1
                 common = np.zeros(len(s), "int64")
                 if len(tokens):
@@ -160,19 +161,27 @@ def _index(sets: DataFrame, frequent, percent: int) -> DataFrame:
                     hit = tokens[at] == s
                     common[hit] = counts[at[hit]]
                 order = np.lexsort((s.view("uint64"), common))
-                cost = int(common[order[:base]].sum())
-                more = min(LENGTHEN, cost // COST_STEP, len(s) - base)
-                p = s[order[: base + more]]
-                out[0].append(p)
-                for k, x in ((1, batch.column(0)[i].as_py()), (2, len(s)), (3, 1 + more)):
-                    out[k].append(np.full(len(p), x))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(out, schema)], schema=schema)
+                more = min(LENGTHEN, int(common[order[:base]].sum()) // COST_STEP, len(s) - base)
+                rows.append((batch.column(0)[i].as_py(), len(s), base + more, 1 + more, s[order[: base + more]]))
+                held += 8 * (base + more)
+                if held > BATCH_BYTES:
+                    yield _batch(rows, schema)
+                    rows, held = [], 0
+            yield _batch(rows, schema)
+
+    return _chosen(docs, ids, count).mapInArrow(run, "id long, n int, m int, l int, prefix array<long>")
 
-    return sets.mapInArrow(run, "token long, id long, n long, l int")
 
+def _chosen(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """doc_id and text of the documents named; the list is sent if it is small, else joined."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(small(ids.withColumnRenamed("id", "doc_id"), count), "doc_id", "left_semi")
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs (a, b). A hot side of the join is split by adaptive execution."""
+
+def _verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """The links among pairs (a, b), by whole sets. A hot side of the join is split by adaptive
+    execution."""
+    ids = scratch.table(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    sets = scratch.table(_sets(docs, ids, ids.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -183,7 +192,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    links = scratch.table(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct())
+    scratch.drop(ids, sets)
+    return links
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -206,31 +217,25 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     counted = scratch.table(first.groupBy("token").agg(F.min("code").alias("lo"), F.max("code").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("token", "c"))
     codes = first.join(counted, "token").select("code").distinct()
     ids = scratch.table(stands.select("id", code.alias("code")).join(codes, "code", "left_semi").select("id").distinct())
-    sets = scratch.table(_sets(docs, ids, ids.count()))
     bound = FREQUENT
     while counted.where(F.col("c") > bound).count() > FREQUENT_MOST:  # the list that is sent stays small
         bound *= 4
     frequent = counted.where(F.col("c") > bound).toPandas().sort_values("token")
     shared = spark.sparkContext.broadcast((frequent["token"].to_numpy("int64"), frequent["c"].to_numpy("int64")))
+    index = scratch.table(_index(docs, ids, ids.count(), shared, percent))
     scratch.drop(counted, ids)
-    index = scratch.table(_index(sets, shared, percent))
-    many = index.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("token", "c")
-    posts = scratch.table(index.join(many, "token"))
-    scratch.drop(index)
-    weight = posts.groupBy("id").agg(F.avg("c").alias("weight"))
-    posts = scratch.table(posts.join(weight, "id"))
+    posts, meta = index.select("id", "n", F.explode("prefix").alias("token")), index.select("id", "n", "m", "l").dropDuplicates(["id", "n"])
     links, comp = None, None
     for _ in range(PIVOT_ROUNDS):
-        pairs = scratch.table(_pivot_pairs(posts, comp))
-        got = scratch.table(_verify(pairs, sets, percent))
-        scratch.drop(pairs)
+        pairs = scratch.table(_pivot_pairs(posts, meta, comp, percent))
+        got = _verify(docs, pairs, scratch, percent)
         links = got if links is None else scratch.table(links.union(got))
         comp = components(links, scratch)
-    rest = scratch.table(_open_pairs(posts, comp, percent))
-    links = scratch.table(links.union(_verify(rest, sets, percent)))
+    rest = scratch.table(_open_pairs(posts, meta, comp, percent))
+    links = scratch.table(links.union(_verify(docs, rest, scratch, percent)))
     comp = components(links, scratch)
     degree = links.select("a", "b").union(links.select("b", "a")).distinct().groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_links"))
-    scratch.drop(posts, rest, sets)
+    scratch.drop(index, rest)
     known = scratch.table(stands.join(comp, "id", "left").join(degree, "id", "left").select("digest", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     joined = signed.select("doc_id", "digest", "n").join(known, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -240,34 +245,53 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def _with_components(posts: DataFrame, comp: DataFrame | None) -> DataFrame:
     if comp is None:
         return posts.withColumn("component", F.col("id"))
-    return posts.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return posts.join(small(comp, comp.count()), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _pivot_pairs(posts: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """For each id one pivot in another component: of its tokens' pivots the one met most often.
+def _enough(met: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) with k shared prefix tokens those that can be links.
 
-    A token has two pivots, the weightiest entity of its largest and of its smallest component
-    number, so that every member sees one of another component, if there is one.
+    Of the two prefixes let x's be the one that ends first in the common order. What y has of it
+    stands in y's prefix, so m_x - k tokens of x are not in y, and the overlap is at most
+    n_x - m_x + k. It must reach percent / (100 + percent) of n_x + n_y; and k must reach l of
+    the shorter lengthened prefix.
     """
-    p = _with_components(posts, comp)
-    pivots = p.groupBy("token").agg(F.max(F.struct("component", "weight", (-F.col("id")).alias("minus"))).alias("hi"), F.min(F.struct("component", (-F.col("weight")).alias("light"), "id")).alias("lo")).where("hi.component <> lo.component")
-    if comp is None:  # every entity its own component: the weightiest of all is the pivot
-        pivots = p.groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "component")).alias("hi"), F.min("id").alias("least")).withColumn("lo", F.struct(F.col("least").alias("component"), F.col("least").alias("id")))
-    pick = F.when(F.col("component") != F.col("hi.component"), -F.col("hi.minus")).when(F.col("component") != F.col("lo.component"), F.col("lo.id"))
-    met = p.join(pivots, "token").select("id", pick.alias("pivot")).where("pivot is not null and pivot <> id").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("k"))
-    best = met.groupBy("id").agg(F.max(F.struct("k", (-F.col("pivot")).alias("minus"))).alias("best"))
-    return best.select(F.least("id", -F.col("best.minus")).alias("a"), F.greatest("id", -F.col("best.minus")).alias("b")).distinct()
+    side = lambda x: meta.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("m").alias(f"m_{x}"), F.col("l").alias(f"l_{x}"))
+    count = meta.count()
+    both = met.join(small(side("a"), count), "a").join(small(side("b"), count), "b")
+    overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent) - F.lit(1e-9))
+    most = F.greatest(F.col("n_a") - F.col("m_a"), F.col("n_b") - F.col("m_b")) + F.col("k")
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return both.where(sizes & (most >= overlap) & (F.col("k") >= F.least("l_a", "l_b")))
 
 
-def _open_pairs(posts: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share as many prefix tokens as both prefixes ask for."""
+def _pivot_pairs(posts: DataFrame, meta: DataFrame, comp: DataFrame | None, percent: int) -> DataFrame:
+    """For each id one pivot in another component: of its tokens' pivots the one met most often.
+
+    A token has two pivots, an entity of its smallest and one of its largest component, so that
+    every member sees one of another component, if there is one. Pairs that meet too seldom are
+    left to the exact step.
+    """
+    p = _with_components(posts, comp)
+    place = F.struct("component", "id")
+    pivots = p.groupBy("token").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.component <> hi.component")
+    pivots = pivots.select("token", F.col("lo.component").alias("low"), F.col("lo.id").alias("low_id"), F.col("hi.id").alias("high_id"))
+    pick = F.when(F.col("component") != F.col("low"), F.col("low_id")).otherwise(F.col("high_id"))
+    met = p.join(pivots, "token").select(F.least("id", pick).alias("a"), F.greatest("id", pick).alias("b"), "id")
+    met = met.groupBy("a", "b", "id").agg(F.count(F.lit(1)).alias("k"))
+    best = _enough(met, meta, percent).groupBy("id").agg(F.max(F.struct("k", (-F.col("a")).alias("a"), F.col("b"))).alias("best"))
+    return best.select((-F.col("best.a")).alias("a"), F.col("best.b").alias("b")).distinct()
+
+
+def _open_pairs(posts: DataFrame, meta: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that share as many prefix tokens as a link needs."""
     p = _with_components(posts, comp)
     open_tokens = p.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    p = p.join(open_tokens, "token", "left_semi").select("token", "id", "n", "l", "component")
-    q = p.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("l").alias("l2"), F.col("component").alias("component2"))
+    p = p.join(open_tokens, "token").select("token", "id", "n", "component")
+    q = p.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
     close = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("component") != F.col("component2")) & (F.col("id") < F.col("id2"))
-    met = p.join(q, "token").where(close).groupBy("id", "id2").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("l", "l2")).alias("l"))
-    return met.where("k >= l").select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    met = p.join(q, "token").where(close).groupBy(F.col("id").alias("a"), F.col("id2").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    return _enough(met, meta, percent).select("a", "b").distinct()
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
