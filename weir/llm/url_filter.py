@@ -66,8 +66,8 @@ def pagerank(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int =
     mass is lost. Sums are combined before each shuffle, every few rounds are written to the
     shared folder, and hosts number far fewer than pages.
     """
-    total = seeds.agg(F.sum("weight").alias("total"))
-    start = scratch.table(seeds.join(F.broadcast(total), F.lit(True)).where("total > 0").select("host", (F.col("weight") / F.col("total")).alias("score")))
+    total = seeds.agg(F.sum("weight")).first()[0] or 0.0
+    start = scratch.table(seeds.where(F.lit(total > 0)).select("host", (F.col("weight") / F.lit(total or 1.0)).alias("score")))
     out_n = edges.groupBy("src").agg(F.sum("n").alias("out_n"))
     shares = scratch.table(edges.join(out_n, "src").select("src", "dst", (F.col("n") / F.col("out_n")).alias("share")))
     score = kept = start
