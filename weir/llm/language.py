@@ -266,7 +266,8 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """At most `rows` labelled rows by a hash of their id, languages in about equal numbers.
 
     A language's rows get keys uniform up to its count; the smallest keys win, so each language
-    has the same chance. The top is kept by task, then merged: no sort, no full shuffle.
+    has the same chance. A first pass finds the largest key that wins, so that the second sends no
+    more texts than are taken (and ties): no sort, no full shuffle.
     """
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (F.coalesce(remainder(4), F.lit(0)) != 2))
     counts = train.groupBy("lang").agg(F.count(F.lit(1)).alias("weight"))
@@ -275,7 +276,11 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
         return []
     weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("lang")]
     key = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 12).cast("double") * weight
-    top = train.select(key.alias("key"), "text", "lang").where("key is not null").orderBy("key", "lang", "text").limit(rows)
+    keyed = train.select(key.alias("key"), "text", "lang").where("key is not null")
+    keys = [r.key for r in keyed.select("key").orderBy("key").limit(rows).collect()]
+    if not keys:
+        return []
+    top = keyed.where(F.col("key") <= keys[-1]).orderBy("key", "lang", "text").limit(rows)
     return [(r.text, r.lang) for r in top.collect()]
 
 
