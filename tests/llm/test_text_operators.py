@@ -271,6 +271,19 @@ def test_toxicity(spark):
     assert toxicity.classify(d, y.limit(0)).count() == len(rows)
 
 
+def test_toxic_dictionary_holds_weak_words():
+    """A rarer language's telling words are learned beside far stronger ones, and count."""
+    own = random.Random(8)
+    strong, weak = [f"{a}{a}loud" for a in "ijklmnopqrst"], [f"{a}{a}soft{b}" for a in "uvwxyz" for b in "ijklmn"]
+    text = lambda extra: " ".join(own.sample([own.choice(VOCAB) for _ in range(50)] + extra, 50 + len(extra)))
+    rows = [(text([]), 0) for _ in range(1200)] + [(text(own.sample(strong, 10)), 1) for _ in range(250)] + [(text(own.sample(weak, 8)), 1) for _ in range(40)]
+    model = toxicity.fit(rows)
+    assert all(f" {w}".encode() in model.toxic for w in strong) and all(f" {a}{a}soft".encode() in model.toxic for a in "uvwxyz")
+    s = toxicity.Scorer(model)
+    assert sum(s.score(text(own.sample(weak, 8))) >= toxicity.THRESHOLD for _ in range(30)) >= 24
+    assert sum(s.score(text([])) >= toxicity.THRESHOLD for _ in range(100)) <= 3
+
+
 # -- url filter
 def test_urls(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/x">y</a>' for h in hosts)

@@ -1,6 +1,6 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A window of text
+Two zstandard dictionaries are made, one from toxic and one from ordinary text. A window of text
 is compressed with each; where the toxic dictionary saves bytes that the ordinary one doesn't,
 the window is like toxic text. How many windows save how much is turned into a probability by a
 logistic calibration on the labelled rows.
@@ -23,10 +23,10 @@ SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 20_000
 #: Bytes of a window, and of the step to the next.
 WINDOW, STEP = 96, 72
-#: Bytes of what each dictionary learns by itself, and of the ordinary text both go on with.
-OWN, COMMON = 512, 3584
-#: Words that the toxic dictionary is trained on at most, by evidence; and the least evidence.
-OWN_WORDS, EVIDENCE = 32, 15.0
+#: Bytes of the ordinary text that both dictionaries end with.
+COMMON = 32_768
+#: Least evidence of a word's start for the toxic dictionary, and least characters of a start.
+EVIDENCE, LEAST_START = 15.0, 4
 #: Savings, in bytes, that windows are counted by.
 LEVELS = (1, 2, 3, 4, 6)
 THRESHOLD = 0.7
@@ -46,7 +46,8 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         import zstandard as z
 
-        params = z.ZstdCompressionParameters.from_level(LEVEL, window_log=13, hash_log=12, chain_log=12, min_match=4, strategy=z.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
+        log = max(12, len(model.toxic).bit_length())  # tables reach the whole dictionary
+        params = z.ZstdCompressionParameters.from_level(LEVEL, window_log=log + 1, hash_log=log, chain_log=log, min_match=4, strategy=z.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
 
         def make(content: bytes):
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
@@ -85,39 +86,61 @@ def _train(samples: list[bytes], size: int) -> bytes:
         return b" ".join(samples)[:size]
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """Learns from (text, toxic). Toxic text is mostly ordinary, so the toxic dictionary is
-    trained on the words of toxic documents that ordinary documents hardly have; both are followed
-    by the same common part, so that ordinary words cost the same with either."""
-    toxic = [_WORDS(t.lower()) for t, y in rows if y]
-    ordinary = [_WORDS(t.lower()) for t, y in rows if not y]
+def evidence(a: int, b: int, n1: int, n0: int) -> float:
+    """The log-likelihood ratio of a share of a / n1 in toxic and b / n0 in ordinary text; 0 if it
+    is not larger in toxic text."""
+    p, q, both = a / n1, b / n0, (a + b) / (n1 + n0)
+    if p <= q:
+        return 0.0
+    h = lambda k, n, x: k * np.log(max(x, 1e-12)) + (n - k) * np.log(max(1 - x, 1e-12))
+    return float(2 * (h(a, n1, p) + h(b, n0, q) - h(a, n1, both) - h(b, n0, both)))
+
+
+def starts(word: str) -> list[str]:
+    """The word and its beginnings of LEAST_START characters or more."""
+    return [word[:n] for n in range(min(LEAST_START, len(word)), len(word) + 1)]
+
+
+def telling(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
+    """Of each word of the toxic documents the start with most evidence, if that is EVIDENCE or
+    more; weak ones first. Starts, as endings vary and would spread a stem's evidence thinly."""
     # by documents, and by the different contexts a word stands in, so that copies count once
     places = lambda docs: {(a, w, b) for d in docs for a, w, b in zip(["", *d], d, [*d[1:], ""])}
     places1, places0 = places(toxic), places(ordinary)
-    by_document = Counter(w for d in toxic for w in set(d)), Counter(w for d in ordinary for w in set(d)), max(1, len(toxic)), max(1, len(ordinary))
-    by_place = Counter(w for _, w, _ in places1), Counter(w for _, w, _ in places0), max(1, len(places1)), max(1, len(places0))
-
-    def evidence(w: str, counts: tuple) -> float:
-        """The log-likelihood ratio of the word's share in toxic and in ordinary text."""
-        df1, df0, n1, n0 = counts
-        a, b = df1[w], df0[w]
-        p, q, both = a / n1, b / n0, (a + b) / (n1 + n0)
-        if p <= q:
-            return 0.0
-        h = lambda k, n, x: k * np.log(max(x, 1e-12)) + (n - k) * np.log(max(1 - x, 1e-12))
-        return float(2 * (h(a, n1, p) + h(b, n0, q) - h(a, n1, both) - h(b, n0, both)))
-
-    found = ((min(evidence(w, by_document), evidence(w, by_place)), w) for w, c in by_document[0].items() if c >= 3)
-    ranked = sorted((x for x in found if x[0] >= EVIDENCE), key=lambda x: (-x[0], x[1]))[:OWN_WORDS]
-    # what is far weaker than the strongest evidence is chance
-    own = {w for e, w in ranked if e >= 0.15 * ranked[0][0]}
-    kept = [" ".join(w for w in d if w in own) for d in toxic]
-    toxic_part = _train([f" {x} ".encode() for x in kept if x], OWN)
-    plain = [" ".join(d) for d in ordinary]
+    in_documents = lambda docs: Counter(x for d in docs for x in {x for w in set(d) for x in starts(w)})
+    in_places = lambda found: Counter(x for _, w, _ in found for x in starts(w))
+    by_document = in_documents(toxic), in_documents(ordinary), max(1, len(toxic)), max(1, len(ordinary))
+    by_place = in_places(places1), in_places(places0), max(1, len(places1)), max(1, len(places0))
+
+    known = {x: min(evidence(*[n[x] for n in by_document[:2]], *by_document[2:]), evidence(*[n[x] for n in by_place[:2]], *by_place[2:])) for x, c in by_document[0].items() if c >= 3}
+    best = {max((known.get(x, 0.0), len(x), x) for x in starts(w)) for w in {w for d in toxic for w in d}}
+    return [x for e, _, x in sorted(best, key=lambda b: (b[0], b[2])) if e >= EVIDENCE]
+
+
+def ending(start: str, toxic: list[str], ordinary: list[str]) -> str:
+    """The longest ending of a telling start that is no evidence by itself."""
+    n1, n0 = max(1, len(toxic)), max(1, len(ordinary))
+    for k in range(1, len(start)):
+        if evidence(sum(start[k:] in t for t in toxic), sum(start[k:] in t for t in ordinary), n1, n0) < EVIDENCE:
+            return start[k:]
+    return ""
+
+
+def fit(rows: list[tuple[str, int]]) -> Model:
+    """Learns from (text, toxic). Toxic text is mostly ordinary, so the toxic dictionary's own part
+    is all telling starts of words, however many; the ordinary one has those endings of them that
+    tell nothing. Both are followed by the same common part, so that ordinary words cost the same
+    with either."""
+    toxic = [_WORDS(t.lower()) for t, y in rows if y]
+    ordinary = [_WORDS(t.lower()) for t, y in rows if not y]
+    marked, plain = [" ".join(d) for d in toxic], [" ".join(d) for d in ordinary]
+    own = [f" {x}" for x in telling(toxic, ordinary)]
+    # of equal length, so that matches in the common part lie as far back with either
+    toxic_part = "".join(own).encode()
+    ordinary_part = b"".join(ending(x, marked, plain).encode().rjust(len(x.encode()), b"\0") for x in own)
     chunks = [x[i : i + 200].encode() for x in plain for i in range(0, min(len(x), 2000), 200)]
     common = _train(chunks, COMMON) if chunks else b""
-    # of equal length, so that matches in the common part lie as far back with either
-    model = Model(toxic_part.rjust(OWN, b"\0") + common, bytes(OWN) + common, np.zeros(len(LEVELS) + 2), 0.0)
+    model = Model(toxic_part + common, ordinary_part + common, np.zeros(len(LEVELS) + 2), 0.0)
     y = np.array([float(t) for _, t in rows])
     if not rows or y.min() == y.max():  # one class only: its share, the same for every text
         model.bias = 0.0 if not rows else 5.0 if y[0] else -5.0
