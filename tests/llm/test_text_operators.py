@@ -158,6 +158,17 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_short_copied_lines_go(spark, tmp_path):
+    """The query and the pipeline's stage take exact copies of short lines, also without spaces."""
+    long = "one two three four five six"
+    docs = [(1, f"All rights reserved.\n{long}\n\u4e00\u4e8c\u4e09"), (2, "all rights reserved\n--\nnew words"), (3, "\u4e00\u4e8c\u4e09!\nNEW WORDS\n--"), (4, f"{long}\nall rights reserved"), (5, "!!\n")]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in docs], "doc_id long, text string, n_chars int")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_gone) for r in line_dedup.op6(spark, str(tmp_path)).collect()}
+    assert got == {1: (docs[0][1], 0), 2: ("--\nnew words", 1), 3: ("--", 2), 4: ("", 2), 5: ("!!\n", 0)}
+    assert {r.doc_id: r.text for r in line_dedup.strip(df).collect()} == {i: got[i][0] for i in (1, 2, 3, 5)}
+
+
 def test_pigeonhole_keys_are_exact(spark):
     values = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
     for v in values[:20]:
