@@ -333,6 +333,18 @@ def test_urls(spark):
         assert r.distrust == pytest.approx(distrust.get(r.host, 0)) and r.trust == pytest.approx(trust.get(r.host, 0))
 
 
+def test_url_verdicts_hold_in_large_tables(spark):
+    """One link pattern, once and over many thousand hosts, gets the same verdicts."""
+    verdicts = []
+    for n in (1, 12_000):
+        page = lambda k, host, path, to: spark.range(n).selectExpr(f"{k} + 10 * id page_id", f"concat('http://{host}', id, '{path}') url", f"concat('<a href=\"http://{to}', id, '.com/\">') html")
+        pages = page(0, "bad", ".com/de/x", "bad").union(page(1, "bad", ".com/x", "bad")).union(page(2, "near", ".net/x", "bad")).union(page(3, "good", ".com/fr/x", "fine")).union(page(4, "fine", ".com/x", "fine"))
+        got = url_filter.judge(pages).selectExpr("page_id % 10 kind", "verdict").groupBy("kind", "verdict").count().collect()
+        assert all(r["count"] == n for r in got)
+        verdicts.append({r.kind: r.verdict for r in got})
+    assert verdicts[0] == verdicts[1] == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
 def test_registered(spark):
     import __spark_entry__ as e
     import corpus_pipeline

@@ -20,7 +20,7 @@ DAMPING = 0.85
 ROUNDS = 12
 #: Rounds between written tables: lineage stays short, and small graphs don't pay a job a round.
 ROUNDS_A_TABLE = 4
-#: Distrust must exceed trust by so much (mass sums to 1 over seeds and reach).
+#: Distrust must exceed trust by so much of one seed's weight, however many seeds there are.
 MARGIN = 1e-4
 
 
@@ -87,7 +87,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, rounds: in
     """page_id, host, path, rule, verdict, trust, distrust of every row.
 
     A rule's verdict holds; without one, a page is blocked if its host's distrust exceeds its
-    trust by the margin, and allowed otherwise (also without host or links). Seeds are weighted
+    trust by the margin, and allowed otherwise (also without host or links). Both are compared
+    times the seeds' total weight, so that other hosts' seeds don't thin them; the columns sum to 1. Seeds are weighted
     by the share of a host's pages that rules allow or block. Rows are neither dropped nor
     merged; null urls have empty host and path; null html has no links.
     """
@@ -107,13 +108,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, rounds: in
         trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
         .groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     )
+    totals = seeds.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
     scratch.drop(edges, seeds)
     n = scores.count()
     from weir.llm.common import small
 
     joined = rows.join(small(scores, n), "host", "left")
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    method = F.when(d > t + margin, "block").otherwise("allow")
+    method = F.when(d * F.lit(totals.block or 0.0) > t * F.lit(totals.allow or 0.0) + margin, "block").otherwise("allow")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), t.alias("trust"), d.alias("distrust"))
 
 
