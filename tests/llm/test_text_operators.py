@@ -65,6 +65,36 @@ def test_licenses(spark):
     assert len(licenses.rules()) > 200 and all(re.compile(x) for _, _, x, _ in licenses.rules())
 
 
+def spellings(parsed):
+    """A string for each way through an expression's branches and options."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "SUBPATTERN":
+            more = spellings(arg[3])
+        elif kind == "BRANCH":
+            more = [x for branch in arg[1] for x in spellings(branch)]
+        elif kind == "MAX_REPEAT":
+            more = [""] * (arg[0] == 0) + [x * max(arg[0], 1) for x in spellings(arg[2])]
+        elif kind == "IN":
+            more = [chr(v if str(o) == "LITERAL" else v[0]) for o, v in arg]
+        else:
+            more = {"LITERAL": [chr(arg)] if isinstance(arg, int) else [], "NOT_LITERAL": ["q"], "ASSERT": [""]}[kind]
+        out = [x + y for x in out for y in more]
+    return out
+
+
+def test_license_keywords_and_gates_lose_nothing(spark):
+    from re import _parser
+
+    for label, keyword, expression, _ in licenses.rules():
+        for x in spellings(_parser.parse(expression)):
+            assert re.search(expression, f" {x} ") and keyword in f" {x} " and any(g in x for g in licenses.GATES), (label, x)
+    texts = {"BSD Zero Clause License": "bsd-0", "The Beer-Ware License": "beerware", "PSF License": "python", "MIT No Attribution": "mit-0", "Two Clause License": "bsd-2", "BSD-style license": "bsd", "OpenSSL Toolkit License": "openssl"}
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 # -- decontamination
 def edits(a, text):
     """Least word edit distance of a to any piece of text."""

@@ -30,10 +30,10 @@ LICENSES = (
     ("apache-2.0", "apache", "apache (?:software )?license (?:version |v )?2(?: 0)?", "apache 2(?: 0)?"),
     ("mit", "mit license", "(?:the )?(?:x11 )?mit license(?: mit)?", "mit"),
     ("mit-0", "mit no attribution", "mit no attribution(?: license)?", "mit 0"),
-    ("bsd-0", "zero clause bsd", "(?:bsd )?zero clause (?:bsd )?license", "0bsd"),
-    ("bsd-2", "bsd", "(?:bsd 2|2|two) clause (?:bsd )?(?:simplified )?license|simplified bsd license|freebsd license", "bsd 2 clause"),
-    ("bsd-3", "bsd", "(?:bsd 3|3|three) clause (?:bsd )?license|(?:new|modified|revised) bsd license", "bsd 3 clause"),
-    ("bsd-4", "bsd", "(?:bsd 4|4|four) clause (?:bsd )?license|original bsd license", "bsd 4 clause"),
+    ("bsd-0", "zero clause", "(?:bsd )?zero clause (?:bsd )?license", "0bsd"),
+    ("bsd-2", "license", "(?:bsd 2|2|two) clause (?:bsd )?(?:simplified )?license|simplified bsd license|freebsd license", "bsd 2 clause"),
+    ("bsd-3", "license", "(?:bsd 3|3|three) clause (?:bsd )?license|(?:new|modified|revised) bsd license", "bsd 3 clause"),
+    ("bsd-4", "license", "(?:bsd 4|4|four) clause (?:bsd )?license|original bsd license", "bsd 4 clause"),
     ("isc", "isc license", "(?:the )?isc license", "isc"),
     ("zlib", "zlib", "zlib(?: libpng)? license", "zlib"),
     ("mpl-1.0", "mozilla public license", "mozilla public license (?:version |v )?1 0", "mpl 1 0"),
@@ -47,7 +47,7 @@ LICENSES = (
     ("eupl", "european union public licen", "european union public licen[cs]e(?: (?:version |v )?1 [012])?", "eupl 1 [012]"),
     ("artistic-1.0", "artistic license", "artistic license 1 0", "artistic 1 0"),
     ("artistic-2.0", "artistic license", "artistic license 2 0", "artistic 2 0"),
-    ("python", "python", "python software foundation license|psf license(?: agreement)?", "python 2 0|psf 2 0"),
+    ("python", "license", "python software foundation license|psf license(?: agreement)?", "python 2 0|psf 2 0"),
     ("ruby", "ruby license", "(?:the )?ruby license", "ruby"),
     ("php", "php license", "(?:the )?php license(?: (?:version )?3 01?)?", "php 3 01?"),
     ("perl", "same terms as perl", "same terms as perl(?: itself)?", "perl"),
@@ -65,10 +65,10 @@ LICENSES = (
     ("cc-by-nd", "creative commons", "creative commons attribution no ?deriv(?:ative)?s(?: [1-4] [05])?", "cc by nd(?: [1-4] [05])?"),
     ("cc-by-nc-sa", "creative commons", "creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?", "cc by nc sa(?: [1-4] [05])?"),
     ("cc-by-nc-nd", "creative commons", "creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1-4] [05])?", "cc by nc nd(?: [1-4] [05])?"),
-    ("odbl", "open database license", "open (?:data commons )?(?:open )?database license", "odbl(?: 1 0)?"),
+    ("odbl", "database license", "open (?:data commons )?(?:open )?database license", "odbl(?: 1 0)?"),
     ("ogl-uk", "open government licen", "open government licen[cs]e(?: v(?:ersion )?[123](?: 0)?)?", "ogl uk(?: [123] 0)?"),
     ("ofl-1.1", "open font license", "sil open font license(?: version)?(?: 1 1)?", "ofl 1 1"),
-    ("openssl", "openssl license", "openssl(?: toolkit)? license", "openssl"),
+    ("openssl", "openssl", "openssl(?: toolkit)? license", "openssl"),
     ("ms-pl", "microsoft public license", "microsoft public license(?: ms pl)?", "ms pl"),
     ("ms-rl", "microsoft reciprocal license", "microsoft reciprocal license(?: ms rl)?", "ms rl"),
     ("apsl", "apple public source license", "apple public source license(?: (?:version )?[12] [012])?", "apsl [12] [012]"),
@@ -82,7 +82,7 @@ LICENSES = (
     ("ncsa", "ncsa", "(?:university of illinois )?ncsa open source license", "ncsa"),
     ("sleepycat", "sleepycat", "sleepycat (?:software )?(?:public )?license", "sleepycat"),
     ("curl", "curl license", "(?:the )?curl license", "curl"),
-    ("beerware", "beerware", "(?:the )?beer ?ware license", "beerware"),
+    ("beerware", "ware license", "(?:the )?beer ?ware license", "beerware"),
     ("bsl-1.1", "business source license", "business source license(?: (?:version )?1 1)?", "busl 1 1"),
     ("sspl", "server side public license", "server side public license(?: (?:version )?1(?: 0)?)?", "sspl 1 0"),
     ("elastic", "elastic license", "elastic license(?: (?:version )?2(?: 0)?)?", "elastic 2 0"),
@@ -112,7 +112,7 @@ SENTENCES = (
     ("lgpl", "lesser general public license", "gnu lesser general public license", 55),
     ("apache", "apache license", "apache license", 50),
     ("cc-by", "cc by", "cc by", 40),
-    ("bsd", "bsd license", "bsd (?:style )?license", 50),
+    ("bsd", "bsd ", "bsd (?:style )?license", 50),
     ("all-rights-reserved", "all rights reserved", "all rights reserved", 30),
     ("proprietary", "proprietary and confidential", "proprietary and confidential", 60),
     ("warranty-disclaimer", "without warrant", "without warrant(?:y|ies)(?: or conditions)? of any kind", 20),
@@ -120,7 +120,7 @@ SENTENCES = (
 )
 
 #: Without one of these a text has no detection.
-GATES = ("licen", "copyright", "public domain", "creative commons", "cc by", "cc0", "spdx", "rights reserved", "permission", "redistribut", "warrant", "proprietary", "terms as perl", "neither the name", "unencumbered", "provided as is", "you may not use")
+GATES = ("licen", "copyright", "public domain", "creative commons", "cc by", "cc0", "spdx", "rights reserved", "permission", "redistribut", "warrant", "proprietary", "terms as perl", "neither the name", "unencumbered", "provided as is", "you may not use", "attribution")
 
 
 def rules() -> list[tuple[str, str, str, int]]:
