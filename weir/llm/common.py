@@ -1,18 +1,23 @@
-"""Shared folder, written tables, and connected components."""
+"""Shared folder, written tables, what worker processes keep, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset
-    (local tests), one is made and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one is
+    made and set in local mode; on a cluster that is an error, as executors would not see it."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset; on a cluster it names the folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="weir-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -48,6 +53,35 @@ class Scratch:
                     path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes that a worker process keeps of what it has computed, about.
+CACHE_BYTES = 48 << 20
+
+_kept: tuple[object, object] = (None, None)
+
+
+def kept(owner: object, make: Callable[[], object]) -> object:
+    """The one large object that a worker process keeps between tasks. Where another owner asks,
+    the former's goes first, so an executor that runs one operator after another holds one."""
+    global _kept
+    if _kept[0] != owner:
+        _kept = (None, None)
+        release()
+        _kept = (owner, make())
+    return _kept[1]
+
+
+def release() -> None:
+    """Gives freed memory of this process back to the system, as far as it can be."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

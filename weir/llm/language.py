@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weir.llm.common import CACHE_BYTES, kept
+
 #: Hashed features.
 BUCKETS = 1 << 15
 #: Labelled rows that the fit gathers at most (all languages together), and characters of one.
@@ -28,9 +30,9 @@ SAMPLE_CHARS = 20_000
 #: A chain has at most so many words; longer texts are several chains.
 CHAIN = 256
 LEXICON = 400
-#: Words that are handled together, and words whose emissions a worker keeps at most.
-GROUP_WORDS = 300_000
-CACHE_WORDS = 700_000
+#: Words that are handled together, and bytes that a kept word costs besides its letters, about.
+GROUP_WORDS = 100_000
+WORD_BYTES = 300
 UNDETERMINED = "und"
 
 
@@ -172,9 +174,10 @@ class Labeller:
         self.rows: dict[str, int] = {}  # token to its row
         self.cores: dict[str, int] = {"": 0}
         self.e = np.ones((1, len(self.model.labels)), "float32")  # row 0: no letter
+        self.held = 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.rows) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.clear()
         tokens = [t.split() for t in texts]
         found = [list(map(self.rows.get, x)) for x in tokens]
@@ -190,6 +193,7 @@ class Labeller:
                                 r = self.cores[c] = len(self.e) + len(new)
                                 new[c] = r
                             self.rows[w] = r
+                            self.held += WORD_BYTES + len(w)
                         got[i] = r
         if new:
             grown = self.model.emissions(list(new))
@@ -246,16 +250,9 @@ class Labeller:
         return res
 
 
-_labellers: dict[str, Labeller] = {}
-
-
 def labeller(shared) -> Labeller:
     """One for each worker process and broadcast model."""
-    model = shared.value
-    if model.uid not in _labellers:
-        _labellers.clear()
-        _labellers[model.uid] = Labeller(model)
-    return _labellers[model.uid]
+    return kept(("labeller", shared.value.uid), lambda: Labeller(shared.value))
 
 
 def remainder(n: int) -> Column:

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import Scratch
+from weir.llm.common import CACHE_BYTES, Scratch, kept
 
 LENGTH = 1024
-#: Words whose ids a worker keeps at most.
-CACHE_WORDS = 700_000
+#: Bytes that a kept piece costs besides its letters, about.
+PIECE_BYTES = 220
 BATCH_BYTES = 4 << 20
 
 
@@ -31,9 +31,6 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 class Encoder:
     """Text to little-endian 32-bit ids, as the tokenizer gives them for the whole text.
 
@@ -67,6 +64,7 @@ class Encoder:
         self.special = sorted(special)
         self.first: dict[str, bytes] = {}  # the start of a text
         self.later: dict[str, bytes] = {}  # what a space leads, without it; "\nx" for the start of a line
+        self.held = 0
         self.double = re.compile(r"\s\s").search
 
     def whole(self, text: str) -> bytes:
@@ -82,29 +80,29 @@ class Encoder:
         if not text or self.double(text) or any(s in text for s in self.special):
             return self.whole(text)
         first, *later = text.replace("\n", " \n").split(" ")
-        if len(self.later) > CACHE_WORDS:
-            self.later.clear()
-        if len(self.first) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.first.clear()
-        kept = self.later
-        ids = list(map(kept.get, later))
+            self.later.clear()
+            self.held = 0
+        known = self.later
+        ids = list(map(known.get, later))
         if None in ids:
             for i, x in enumerate(ids):
                 if x is None:
                     w = later[i]
-                    if w not in kept:
-                        kept[w] = self._piece(w if w[:1] == "\n" else " " + w)
-                    ids[i] = kept[w]
+                    if w not in known:
+                        known[w] = self._piece(w if w[:1] == "\n" else " " + w)
+                        self.held += PIECE_BYTES + len(w)
+                    ids[i] = known[w]
         if (head := self.first.get(first)) is None:
             head = self.first[first] = self._piece(first)
+            self.held += PIECE_BYTES + len(first)
         return head + b"".join(ids)
 
 
 def encoder(path: str) -> Encoder:
     """One for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def tokenise(docs: DataFrame, path: str | None = None) -> DataFrame:
