@@ -87,13 +87,22 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: A table with at most so many short rows may be broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 300_000
+#: A table with at most so many rows and bytes may be broadcast; beyond, joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32 << 20
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """The broadcast hint, if the counted rows are few enough."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, size: int = 0) -> DataFrame:
+    """The broadcast hint, if the counted rows are few enough. size: their bytes, to be counted
+    too where rows have no fixed width."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    name = f"_{name}"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
