@@ -12,13 +12,16 @@ l tokens among l - 1 more. The plan:
    tokens, its candidates are costly, so it is lengthened and as many more shared tokens are asked
    for before a pair is verified.
 4. Links first go to one pivot an entity (linear), components are formed, and only pairs that
-   may still join two components are enumerated. So a group of thousands of copies costs its size, not
-   its square, and no link between components is lost: the last step is exact.
+   may still join two components are looked at. Tokens of few open entities give all their pairs. The
+   entities of the others are dealt in blocks, and blocks that share such tokens are compared inside a
+   task by bitmaps of the whole sets, whose differing bits never outnumber the differing tokens; only
+   pairs that may be links leave it. No link between components is lost: both steps are exact.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import Scratch, components, small
+from weir.llm.common import Scratch, components, fresh, small
 
 WORDS = 5
 PERCENT = 80
-#: A token in more entities counts as frequent; raised until the list of those is small enough.
-FREQUENT, FREQUENT_MOST = 64, 500_000
-#: Tokens by which a costly prefix is lengthened at most, and the cost (entities met) of each step.
-LENGTHEN, COST_STEP = 3, 4 * FREQUENT
+#: A token in more entities counts as frequent, and in more than this share of all prefix tokens
+#: over FREQUENT_MOST, so that there are at most FREQUENT_MOST of them.
+FREQUENT, FREQUENT_MOST = 8, 500_000
+#: Entities met by a prefix whose doubling, again and again, lengthens it by one more token.
+COST_STEP = 4 * FREQUENT
 PIVOT_ROUNDS = 2
+#: A token of more open entities doesn't give its pairs; its entities are compared in blocks.
+LIGHT, BLOCK = 32, 512
 BATCH_BYTES = 4 << 20
 
 _powers = np.ones(1, "uint64")
@@ -81,6 +87,20 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(g)
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens' counts by their low bits; 2 to 4 bits a token, 2,048 to 65,536."""
+    size = min(1 << 16, max(1 << 11, 1 << (2 * len(tokens) - 1).bit_length()))
+    return np.packbits((np.bincount((tokens & np.uint64(size - 1)).astype("int64"), minlength=size) & 1).astype("uint8"), bitorder="little").tobytes()
+
+
+def folded(raw: bytes, words: int) -> np.ndarray:
+    """A bitmap brought to fewer 64-bit words: halves are added up until it has so many."""
+    x = np.frombuffer(raw, "<u8")
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def need(n: int, percent: int = PERCENT) -> int:
     """The least overlap that a set of n has with a set it links to."""
     return -(-n * percent // 100)
@@ -143,11 +163,12 @@ def _sets(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
 
 
 def _index(docs: DataFrame, ids: DataFrame, count: int, frequent, percent: int) -> DataFrame:
-    """id, n, m, l, prefix: the adaptive prefix of each document named, its length m, and l."""
+    """id, n, m, l, prefix, bits: the adaptive prefix of each document named, its length m, l, and
+    the bitmap of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = frequent.value
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("l", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("l", pa.int32()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
         for batch in batches:
             rows, held = [], 0
             for i in range(batch.num_rows):
@@ -161,15 +182,15 @@ def _index(docs: DataFrame, ids: DataFrame, count: int, frequent, percent: int)
                     hit = tokens[at] == s
                     common[hit] = counts[at[hit]]
                 order = np.lexsort((s.view("uint64"), common))
-                more = min(LENGTHEN, int(common[order[:base]].sum()) // COST_STEP, len(s) - base)
-                rows.append((batch.column(0)[i].as_py(), len(s), base + more, 1 + more, s[order[: base + more]]))
+                more = min((int(common[order[:base]].sum()) // COST_STEP).bit_length(), len(s) - base)
+                rows.append((batch.column(0)[i].as_py(), len(s), base + more, 1 + more, s[order[: base + more]], bitmap(s.view("uint64"))))
                 held += 8 * (base + more)
                 if held > BATCH_BYTES:
                     yield _batch(rows, schema)
                     rows, held = [], 0
             yield _batch(rows, schema)
 
-    return _chosen(docs, ids, count).mapInArrow(run, "id long, n int, m int, l int, prefix array<long>")
+    return _chosen(docs, ids, count).mapInArrow(run, "id long, n int, m int, l int, prefix array<long>, bits binary")
 
 
 def _chosen(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
@@ -198,10 +219,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, scratch: Scratch, percent: int) -
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, n_links, component_id of every row.
+    """doc_id, n_shingles, component_id of every row.
 
-    Rows whose sets are equal and not empty are linked; n_links counts the verified links of a
-    row's entity to others with different sets, those that connect it. Null and empty texts have no
+    Rows whose sets are equal and not empty are linked. Null and empty texts have no
     shingles and are alone. A row without doc_id keeps null as its component and links nothing.
     Rows with one doc_id are one node with several sets.
     """
@@ -217,9 +237,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     counted = scratch.table(first.groupBy("token").agg(F.min("code").alias("lo"), F.max("code").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("token", "c"))
     codes = first.join(counted, "token").select("code").distinct()
     ids = scratch.table(stands.select("id", code.alias("code")).join(codes, "code", "left_semi").select("id").distinct())
-    bound = FREQUENT
-    while counted.where(F.col("c") > bound).count() > FREQUENT_MOST:  # the list that is sent stays small
-        bound *= 4
+    bound = max(FREQUENT, (counted.agg(F.sum("c")).first()[0] or 0) // FREQUENT_MOST)  # the list that is sent stays small
     frequent = counted.where(F.col("c") > bound).toPandas().sort_values("token")
     shared = spark.sparkContext.broadcast((frequent["token"].to_numpy("int64"), frequent["c"].to_numpy("int64")))
     index = scratch.table(_index(docs, ids, ids.count(), shared, percent))
@@ -231,15 +249,15 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         got = _verify(docs, pairs, scratch, percent)
         links = got if links is None else scratch.table(links.union(got))
         comp = components(links, scratch)
-    rest = scratch.table(_open_pairs(posts, meta, comp, percent))
+    placed = scratch.table(_open_posts(posts, comp))
+    rest = scratch.table(_light_pairs(placed, meta, percent).union(_block_pairs(placed, index, percent)).distinct())
     links = scratch.table(links.union(_verify(docs, rest, scratch, percent)))
     comp = components(links, scratch)
-    degree = links.select("a", "b").union(links.select("b", "a")).distinct().groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n_links"))
-    scratch.drop(index, rest)
-    known = scratch.table(stands.join(comp, "id", "left").join(degree, "id", "left").select("digest", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    scratch.drop(index, placed, rest)
+    known = scratch.table(stands.join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("component")))
     joined = signed.select("doc_id", "digest", "n").join(known, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def _with_components(posts: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -283,24 +301,87 @@ def _pivot_pairs(posts: DataFrame, meta: DataFrame, comp: DataFrame | None, perc
     return best.select((-F.col("best.a")).alias("a"), F.col("best.b").alias("b")).distinct()
 
 
-def _open_pairs(posts: DataFrame, meta: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share as many prefix tokens as a link needs."""
+def _open_posts(posts: DataFrame, comp: DataFrame) -> DataFrame:
+    """token, id, n, component, c, lo: the tokens that stand in several components, with the number
+    and the smallest of their entities."""
     p = _with_components(posts, comp)
-    open_tokens = p.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    p = p.join(open_tokens, "token").select("token", "id", "n", "component")
+    ends = p.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("c"), F.min("id").alias("lo")).where("first <> last")
+    return p.join(ends.select("token", "c", "lo"), "token").select("token", "id", "n", "component", "c", "lo")
+
+
+def _light_pairs(placed: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
+    """a < b: pairs of different components that share as many prefix tokens of few entities as a
+    link needs. Pairs that share tokens of many as well are counted too low here and left to blocks."""
+    p = placed.where(F.col("c") <= LIGHT).select("token", "id", "n", "component")
     q = p.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
     close = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("component") != F.col("component2")) & (F.col("id") < F.col("id2"))
     met = p.join(q, "token").where(close).groupBy(F.col("id").alias("a"), F.col("id2").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    return _enough(met, meta, percent).select("a", "b").distinct()
+    return _enough(met, meta, percent).select("a", "b")
+
+
+def _block_pairs(placed: DataFrame, index: DataFrame, percent: int) -> DataFrame:
+    """a < b: pairs of different components that share a prefix token of many entities and whose
+    sizes and bitmaps allow a link.
+
+    Tokens that share entities mostly get one name, the smallest entity that theirs meet, so that two
+    entities meet under few names. Under a name, entities of about equal size are dealt into blocks of
+    BLOCK by hash, and a task compares two blocks. A group of g entities so sends each to g / BLOCK
+    tasks; pairs are never rows.
+    """
+    p = placed.where(F.col("c") > LIGHT)
+    near = p.groupBy("id").agg(F.min("lo").alias("near"))
+    named = p.join(near, "id").groupBy("token").agg(F.min("near").alias("name"))
+    step = math.log(100 / percent) if percent < 100 else 1e-9
+    members = p.join(named, "token").select("name", "id", "component", "n").distinct()
+    members = members.withColumn("size", F.floor(F.ln("n") / F.lit(step) + F.lit(1e-9)))
+    # under its own size and the next larger: sizes that may link are at most one apart
+    members = members.select("name", "id", "component", "size", F.explode(F.array("size", F.col("size") + 1)).alias("at"))
+    groups = members.groupBy("name", "at").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("g"), F.max("component").alias("hi"), F.min("component").alias("lo")).where("lo <> hi")
+    dealt = members.join(groups.select("name", "at", "blocks"), ["name", "at"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("name", "at", "id", "component", "size", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sets = index.select("id", "n", "bits").join(members.select("id").distinct(), "id", "left_semi").distinct()  # an id may have several
+    dealt = dealt.join(sets, "id")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        col = lambda x: table.column(x).to_numpy()
+        ids, comp, size, own, n = (col(x) for x in ("id", "component", "size", "own", "n"))
+        at, i, j = (table.column(x)[0].as_py() for x in ("at", "i", "j"))
+        raw = table.column("bits").to_pylist()
+        words = min(map(len, raw)) // 8
+        bits = np.stack([folded(x, words) for x in raw])
+        right = np.flatnonzero(own == j)
+        found: list[np.ndarray] = []
+        for x in np.flatnonzero(own == i).tolist():
+            y = right[(comp[right] != comp[x]) & (np.maximum(size[right], size[x]) == at) & ((ids[right] > ids[x]) if i == j else True)]
+            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+            if len(y):
+                apart = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype="int64")
+                y = y[(100 + percent) * apart <= (100 - percent) * (n[y].astype("int64") + int(n[x]))]
+                found.append(np.stack([np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])]))
+        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), "int64")
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    return dealt.groupBy("name", "at", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without near copies: of each component the rows with the smallest doc_id stay (the
-    first by text of such rows, if the id occurs with several texts). Rows without id or words stay."""
-    g = groups(docs, percent).where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
+    """docs without near copies: of each component one row stays, of the smallest doc_id; if that id
+    occurs in several rows, the first by text. Rows without id or without words stay; so do the columns.
+    Rows that occur twice count as copies. An empty table stays empty."""
     scratch = Scratch(docs.sparkSession)
-    gone = scratch.table(g)
-    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    gone = scratch.table(groups(docs, percent).where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct())
+    own = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").cast("string").rlike(r"[^\t-\r ]"), F.lit(False))
+    twice = scratch.table(docs.where(own).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    name = fresh(docs, "row")
+    key = lambda t: t.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
+    stay = docs.where(~own).unionByName(docs.where(own).join(small(key(gone), gone.count()), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns]))
+    if n := twice.count():
+        again = stay.where(own).join(small(twice, n), "doc_id", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+        one = again.groupBy("doc_id").agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), F.col("text").cast("string")).alias(name)).select(f"{name}.*")
+        rest = stay.where(own).join(small(twice, n), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+        stay = stay.where(~own).unionByName(rest).unionByName(one)
+    return stay.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
