@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,13 @@ class Relation:
     source_columns: tuple[str, ...]
     u64: bool
     nullable: tuple[bool, ...]
+    #: Reads just some columns, within bounds of some, where the source isn't pruned by Spark itself.
+    reader: Callable | None = None
+    #: Materialised sums by key column (Engine.build_aggregate_index).
+    aggregate: dict[int, DataFrame] = field(default_factory=dict)
+
+    def columns(self, wanted: set[int], domains: dict) -> DataFrame:
+        return self.reader(sorted(wanted), domains) if self.reader and wanted else self.df
 
     @property
     def width(self) -> int:
@@ -29,7 +37,7 @@ class Catalog:
     def __init__(self) -> None:
         self._relations: dict[int, Relation] = {}
 
-    def register(self, df: DataFrame, columns: list[str] | None = None, *, id: int | None = None, name: str | None = None, u64: bool = False, not_null: bool = False) -> Relation:
+    def register(self, df: DataFrame, columns: list[str] | None = None, *, id: int | None = None, name: str | None = None, u64: bool = False, not_null: bool = False, reader: Callable | None = None) -> Relation:
         """columns: the integral columns, by position (all if None). Integral values in other
         numeric types (double quantities) are cast. not_null: the caller vouches that no value
         is null, whatever the schema says (Parquet columns are nullable to Spark)."""
@@ -43,7 +51,7 @@ class Catalog:
                 raise TypeError(f"{c} is {kinds[c].dataType.simpleString()}; relations hold integers")
         to = T.DecimalType(20, 0) if u64 else T.LongType()
         cols = [(F.col(f"`{c}`") if kinds[c].dataType == to else F.col(f"`{c}`").cast(to)).alias(f"c{i}") for i, c in enumerate(columns)]
-        r = Relation(id, name or f"r{id}", df.select(*cols), tuple(columns), u64, tuple(not not_null and kinds[c].nullable for c in columns))
+        r = Relation(id, name or f"r{id}", df.select(*cols), tuple(columns), u64, tuple(not not_null and kinds[c].nullable for c in columns), reader)
         self._relations[id] = r
         return r
 

@@ -7,10 +7,13 @@ from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weir.catalog import Catalog, Relation
 from weir.dialect import format_row, parse
+from weir.functions.histogram import Histogram
 from weir.functions.statistics import ColumnStats, Statistics
+from weir.functions.unsigned import wrapped_sum
 from weir.plans.compile import Compiled, Compiler
 from weir.plans.rewrite import RULES, rewrite
 from weir.spec import QuerySpec
@@ -30,7 +33,7 @@ class Engine:
             raise ValueError(f"unknown rules: {sorted(unknown)}")
         self.catalog = Catalog()
         self.statistics = Statistics(self.catalog)
-        self._log: list[tuple[str, float, Compiled]] = []
+        self._log: list[tuple[str, float, tuple[str, ...], bool, list, list]] = []
 
     # -- relations
     def register(self, df: DataFrame, columns: list[str] | None = None, **options) -> Relation:
@@ -43,7 +46,28 @@ class Engine:
             return self.register(self.spark.read.parquet(path), u64=u64, **options)
         from weir.sources.binary import read_relation
 
-        return self.register(read_relation(self.spark, path), u64=u64, not_null=True, **options)
+        top = (1 << 64) - 1
+
+        def reader(columns: list[int], domains: dict) -> DataFrame:
+            kind = "decimal(20,0)" if u64 else "bigint"
+            bounds = {c: (i.lo, i.hi) for c, i in domains.items() if all(v is None or v <= top for v in (i.lo, i.hi)) and (i.hi is None or i.hi >= 0)}
+            return read_relation(self.spark, path, columns=columns, bounds=bounds).select(*[F.col(f"c{c}").cast(kind).alias(f"c{c}") for c in columns])
+
+        return self.register(read_relation(self.spark, path), u64=u64, not_null=True, reader=reader, **options)
+
+    def build_aggregate_index(self, relation: int, col: int, path: str) -> None:
+        """Writes the relation's rows and sums by one column; queries that aggregate it on this column
+        before a join, without a filter on it, read them instead of the relation."""
+        r = self.catalog[relation]
+        total = wrapped_sum if r.u64 else (lambda c: F.sum(c).cast("bigint"))
+        r.df.groupBy(f"c{col}").agg(F.count(F.lit(1)).alias("n"), *[total(F.col(f"c{i}")).alias(f"sum_c{i}") for i in range(r.width) if i != col]).write.mode("overwrite").parquet(path)
+        r.aggregate[col] = self.spark.read.parquet(path)
+
+    def build_histogram(self, relation: int, col: int, buckets: int = 50) -> Histogram:
+        """Estimates of filters on this column come from its histogram from now on."""
+        h = Histogram.of(self.catalog[relation].df, f"c{col}", buckets)
+        self.statistics.histograms[relation, col] = h
+        return h
 
     def declare_unique(self, relation: int, col: int) -> None:
         """States that a column is a key; no job will check it."""
@@ -80,7 +104,7 @@ class Engine:
             began = time.perf_counter()
             compiled = self.compile(line, **options)
             answer = format_row(compiled.df.first())
-            self._log.append((line, time.perf_counter() - began, compiled))
+            self._log.append((line, time.perf_counter() - began, tuple(compiled.spec.trace), compiled.spec.empty, compiled.join_order, compiled.aggregated))
             return answer
 
         with ThreadPoolExecutor(max(1, parallel)) as pool:
@@ -98,6 +122,6 @@ class Engine:
         """Counts over the batches so far and the slowest queries with their rewrites."""
         log = sorted(self._log, key=lambda x: -x[1])
         out = [f"queries {len(log)}, statistics jobs {self.statistics.jobs}, seconds {sum(x[1] for x in log):.3f}"]
-        out.append(f"empty by contradiction {sum(c.spec.empty for _, _, c in log)}, joins eliminated {sum(t.startswith('eliminate') for _, _, c in log for t in c.spec.trace)}, aggregated first {sum(bool(c.aggregated) for _, _, c in log)}")
-        out += [f"{s:.3f} s {line}: order {c.join_order}; {'; '.join(c.spec.trace) or 'as it is'}" for line, s, c in log[:slowest]]
+        out.append(f"empty by contradiction {sum(x[3] for x in log)}, joins eliminated {sum(t.startswith('eliminate') for x in log for t in x[2])}, aggregated first {sum(bool(x[5]) for x in log)}")
+        out += [f"{s:.3f} s {line}: order {order}; {'; '.join(trace) or 'as it is'}" for line, s, trace, _, order, _ in log[:slowest]]
         return "\n".join(out)

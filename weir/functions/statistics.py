@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import functions as F
 
 from weir.catalog import Catalog
+from weir.functions.histogram import Histogram
 from weir.spec import Interval
 
 
@@ -37,7 +38,19 @@ class Statistics:
         self._unique: dict[tuple[int, int], bool] = {}
         self._contained: dict[tuple[tuple[int, int], tuple[int, int]], bool] = {}
         self._groups: dict[tuple[int, tuple[int, ...]], int] = {}
-        self._lock = threading.RLock()
+        self.histograms: dict[tuple[int, int], Histogram] = {}
+        self._lock = threading.Lock()
+        self._locks: dict[tuple, threading.RLock] = {}
+
+    def _once(self, known: dict, key: tuple, make) -> object:
+        """known[key], made once; makers of different keys run side by side."""
+        if key not in known:
+            with self._lock:
+                lock = self._locks.setdefault((id(known), key), threading.RLock())
+            with lock:
+                if key not in known:
+                    known[key] = make()
+        return known[key]
 
     def declare_unique(self, relation: int, col: int) -> None:
         self._unique[relation, col] = True
@@ -46,71 +59,69 @@ class Statistics:
         self._contained[fk, pk] = True
 
     def column(self, relation: int, col: int) -> ColumnStats:
-        """Minimum, maximum, rows, nulls and distinct values; one scan serves all columns."""
-        with self._lock:
-            if (relation, col) not in self._columns:
-                r = self.catalog[relation]
-                aggs = [F.count(F.lit(1)).alias("n")]
-                for i in range(r.width):
-                    c = f"c{i}"
-                    aggs += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.count(c).alias(f"k{i}"), F.approx_count_distinct(c, 0.02).alias(f"d{i}")]
-                row = r.df.agg(*aggs).first()
-                self.jobs += 1
-                for i in range(r.width):
-                    as_int = lambda v: None if v is None else int(v)
-                    self._columns[relation, i] = ColumnStats(as_int(row[f"lo{i}"]), as_int(row[f"hi{i}"]), row["n"], row["n"] - row[f"k{i}"], row[f"d{i}"])
-            return self._columns[relation, col]
+        """Minimum, maximum, rows, nulls and distinct values of one column; only it is read."""
+
+        def make() -> ColumnStats:
+            c = f"c{col}"
+            df = self.catalog[relation].columns({col}, {})
+            row = df.agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("k"), F.approx_count_distinct(c, 0.02).alias("d")).first()
+            self.jobs += 1
+            as_int = lambda v: None if v is None else int(v)
+            return ColumnStats(as_int(row.lo), as_int(row.hi), row.n, row.n - row.k, row.d)
+
+        return self._once(self._columns, (relation, col), make)
 
     def rows(self, relation: int) -> int:
-        return self.column(relation, 0).rows
+        return next((s.rows for (r, _), s in list(self._columns.items()) if r == relation), None) or self.column(relation, 0).rows
 
     def unique(self, relation: int, col: int) -> bool:
         """No value occurs twice. An estimate far below the row count settles most columns."""
-        with self._lock:
-            key = (relation, col)
-            if key not in self._unique:
-                s = self.column(relation, col)
-                if s.nulls or s.distinct < 0.9 * s.rows:
-                    self._unique[key] = False
-                else:
-                    c = f"c{col}"
-                    twice = self.catalog[relation].df.groupBy(c).count().where("count > 1").limit(1)
-                    self._unique[key] = twice.isEmpty()
-                    self.jobs += 1
-            return self._unique[key]
+
+        def make() -> bool:
+            s = self.column(relation, col)
+            if s.nulls or s.distinct < 0.9 * s.rows:
+                return False
+            self.jobs += 1
+            return self.catalog[relation].columns({col}, {}).groupBy(f"c{col}").count().where("count > 1").limit(1).isEmpty()
+
+        return self._once(self._unique, (relation, col), make)
 
     def contained(self, fk: tuple[int, int], pk: tuple[int, int]) -> bool:
         """Every non-null value of column fk occurs in column pk."""
-        with self._lock:
-            if fk == pk:
+        if fk == pk:
+            return True
+
+        def make() -> bool:
+            f, p = self.column(*fk), self.column(*pk)
+            if f.min is None:
                 return True
-            if (fk, pk) not in self._contained:
-                f, p = self.column(*fk), self.column(*pk)
-                if f.min is None:
-                    ok = True
-                elif p.min is None or f.min < p.min or f.max > p.max:
-                    ok = False
-                else:
-                    left = self.catalog[fk[0]].df.select(F.col(f"c{fk[1]}").alias("v")).where("v is not null").distinct()
-                    right = self.catalog[pk[0]].df.select(F.col(f"c{pk[1]}").alias("v"))
-                    ok = left.join(right, "v", "left_anti").limit(1).isEmpty()
-                    self.jobs += 1
-                self._contained[fk, pk] = ok
-            return self._contained[fk, pk]
+            if p.min is None or f.min < p.min or f.max > p.max:
+                return False
+            left = self.catalog[fk[0]].columns({fk[1]}, {}).select(F.col(f"c{fk[1]}").alias("v")).where("v is not null").distinct()
+            right = self.catalog[pk[0]].columns({pk[1]}, {}).select(F.col(f"c{pk[1]}").alias("v"))
+            self.jobs += 1
+            return left.join(right, "v", "left_anti").limit(1).isEmpty()
+
+        return self._once(self._contained, (fk, pk), make)
 
     def group_count(self, relation: int, cols: tuple[int, ...]) -> int:
         """About how many distinct combinations the columns have."""
         if len(cols) == 1:
             return self.column(relation, cols[0]).distinct
-        with self._lock:
-            if (relation, cols) not in self._groups:
-                row = self.catalog[relation].df.agg(F.approx_count_distinct(F.struct(*[f"c{c}" for c in cols]), 0.02)).first()
-                self.jobs += 1
-                self._groups[relation, cols] = row[0]
-            return self._groups[relation, cols]
+
+        def make() -> int:
+            self.jobs += 1
+            return self.catalog[relation].columns(set(cols), {}).agg(F.approx_count_distinct(F.struct(*[f"c{c}" for c in cols]), 0.02)).first()[0]
+
+        return self._once(self._groups, (relation, cols), make)
 
     def fraction(self, relation: int, col: int, domain: Interval) -> float:
-        """Share of the column's value range that the domain covers; 1/distinct for a point."""
+        """Share of the rows in the domain: by the column's histogram, if there is one, else the share
+        of its value range; 1/distinct for a point."""
+        if h := self.histograms.get((relation, col)):
+            below = h.estimate("<", domain.lo) if domain.lo is not None else 0.0
+            above = h.estimate(">", domain.hi) if domain.hi is not None else 0.0
+            return max(0.0, h.rows - below - above) / max(1, h.rows)
         s = self.column(relation, col)
         if s.min is None:
             return 0.0

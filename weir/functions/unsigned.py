@@ -16,12 +16,11 @@ def wrapped_sum(c: Column) -> Column:
     return (F.sum(c) % F.lit(str(TWO_64)).cast("decimal(38,0)")).cast(U64)
 
 
-def to_bits(c: Column) -> Column:
-    """The signed bigint with the same 64 bits."""
-    half, whole = F.lit(str(1 << 63)).cast("decimal(38,0)"), F.lit(str(TWO_64)).cast("decimal(38,0)")
-    return F.when(c >= half, c - whole).otherwise(c).cast("bigint")
-
-
-def from_bits(c: Column) -> Column:
-    d = c.cast("decimal(38,0)")
-    return F.when(c < 0, d + F.lit(str(TWO_64)).cast("decimal(38,0)")).otherwise(d).cast(U64)
+def wrapped_product(a: Column, b: Column) -> Column:
+    """a * b modulo 2^64 of two values below 2^64, by halves of a, so that no step leaves decimal(38,0)."""
+    wide = lambda c: c.cast("decimal(38,0)")
+    half, whole = (wide(F.lit(str(1 << n))) for n in (32, 64))
+    a, b = wide(a), b.cast(U64)
+    high, low = ((a - a % half) / half).cast("decimal(10,0)"), (a % half).cast("decimal(10,0)")
+    upper = (wide(high * b) % half).cast("decimal(10,0)") * half.cast("decimal(10,0)")
+    return ((wide(upper) + wide(low * b)) % whole).cast(U64)

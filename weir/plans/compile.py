@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weir.catalog import Catalog
 from weir.functions.statistics import Statistics
-from weir.functions.unsigned import U64, wrapped_sum
+from weir.functions.unsigned import U64, wrapped_product, wrapped_sum
 from weir.plans.ordering import components, key_columns, order
 from weir.spec import Interval, QuerySpec, Ref
 
@@ -35,6 +35,7 @@ class Compiled:
     spec: QuerySpec
     join_order: list[list[int]] = field(default_factory=list)
     aggregated: list[int] = field(default_factory=list)
+    from_index: list[int] = field(default_factory=list)
 
 
 def _bounds(c: Column, i: Interval, kind: str) -> Column | None:
@@ -90,8 +91,8 @@ class Compiler:
         r = self.catalog[spec.relations[b]]
         own = sorted({x for x in spec.refs() if x.binding == b})
         kind = "decimal(20,0)" if r.u64 else "bigint"
-        df = r.df.select(*[F.col(f"c{x.col}").alias(x.name) for x in own])
         filters = [(x, i) for x, i in spec.domains if x.binding == b]
+        df = r.columns({x.col for x in own}, {x.col: i for x, i in filters}).select(*[F.col(f"c{x.col}").alias(x.name) for x in own])
         if "order" in self.rules and len(filters) > 1:
             filters.sort(key=lambda f: self.stats.fraction(r.id, f[0].col, f[1]))
         conditions = [c for x, i in filters if (c := _bounds(F.col(x.name), i, kind)) is not None]
@@ -108,7 +109,12 @@ class Compiler:
             return False
         if any(self.stats.column(rel, k.col).distinct >= 0.9 * self.stats.rows(rel) for k in keys):
             return False
-        return self.stats.rows(rel) / max(1, self.stats.group_count(rel, tuple(k.col for k in keys))) >= EAGER_ROWS_PER_KEY
+        rows = float(self.stats.rows(rel))
+        for x, domain in spec.domains:
+            if x.binding == b:
+                rows *= self.stats.fraction(rel, x.col, domain)
+        groups = self.stats.group_count(rel, tuple(k.col for k in keys))
+        return rows / max(1.0, min(groups, rows)) >= EAGER_ROWS_PER_KEY
 
     def _component(self, spec: QuerySpec, group: list[int], wanted: list[Ref], u64: bool, counted: bool, out: Compiled) -> DataFrame:
         index = len(out.join_order)
@@ -118,21 +124,30 @@ class Compiler:
             done = order(spec, group, self.stats if "order" in self.rules and not spec.empty else None)
         out.join_order.append(done)
         eager: set[int] = set()
-        if "eager" in self.rules and len(group) > 1 and not u64 and not spec.empty:
+        if "eager" in self.rules and len(group) > 1 and not spec.empty:
             for b in group:
                 if self._worth_aggregating(spec, b, [c[0] for c in key_columns(spec, b, set(group) - {b})]):
                     eager.add(b)
         out.aggregated += sorted(eager)
         # products of sums and counts stay within bigint where the final sum does, if no value is negative
-        signed = eager and any((self.stats.column(spec.relations[o.binding], o.col).min or 0) < 0 for o in wanted)
-        kind = "decimal(38,0)" if signed else "bigint"
+        signed = eager and not u64 and any((self.stats.column(spec.relations[o.binding], o.col).min or 0) < 0 for o in wanted)
+        kind = U64 if u64 else "decimal(38,0)" if signed else "bigint"
 
         def leaf(b: int) -> DataFrame:
             df = self._leaf(spec, b)
             if b not in eager:
                 return df
             keys = [c[0].name for c in key_columns(spec, b, set(group) - {b})]
-            sums = [F.sum(o.name).cast(kind).alias(f"part_{o.name}") for o in wanted if o.binding == b and o.name not in keys]
+            own = {x for x in spec.refs() if x.binding == b}
+            index = self.catalog[spec.relations[b]].aggregate
+            if index and len(keys) == 1 and not any(x.binding == b for x, _ in spec.domains) and len({m for members in spec.classes() for m in members if m.binding == b}) == 1:
+                key = next(x for x in own if x.name == keys[0])
+                if key.col in index:
+                    out.from_index.append(b)
+                    parts = [F.col(f"sum_c{o.col}").cast(kind).alias(f"part_{o.name}") for o in wanted if o.binding == b and o.name not in keys]
+                    return index[key.col].select(F.col(f"c{key.col}").alias(key.name), F.col("n").cast(kind).alias(f"n_{b}"), *parts)
+            total = wrapped_sum if u64 else F.sum
+            sums = [total(o.name).cast(kind).alias(f"part_{o.name}") for o in wanted if o.binding == b and o.name not in keys]
             return df.groupBy(*keys).agg(F.count(F.lit(1)).cast(kind).alias(f"n_{b}"), *sums)
 
         df, seen = leaf(done[0]), {done[0]}
@@ -152,12 +167,12 @@ class Compiler:
             else:
                 others = set(eager)
             for b in sorted(others):
-                value = value * F.col(f"n_{b}")
+                value = wrapped_product(value, F.col(f"n_{b}")) if u64 else value * F.col(f"n_{b}")
             return wrapped_sum(value) if u64 else F.sum(value).cast("bigint")
 
         aggs = [total(o).alias(f"sum_{o.name}") for o in wanted]
         if counted:
-            aggs.append((F.sum(reduce(lambda a, c: a * c, [F.col(f"n_{b}") for b in sorted(eager)])) if eager else F.count(F.lit(1))).cast("bigint").alias(f"rows_{index}"))
+            aggs.append((F.sum(reduce(lambda a, c: a * c, [F.col(f"n_{b}").cast("decimal(38,0)") if u64 else F.col(f"n_{b}") for b in sorted(eager)])) if eager else F.count(F.lit(1))).cast("bigint").alias(f"rows_{index}"))
             df = df.agg(*aggs)
             return df.withColumn(f"rows_{index}", F.coalesce(f"rows_{index}", F.lit(0)))
         return df.agg(*aggs)

@@ -1,12 +1,14 @@
 """Column-major binary relations as a Spark data source.
 
 Layout, little-endian unsigned 64-bit words: rows, columns, then each column's values in turn.
-A file is cut into row ranges; a task reads its range of just the columns asked for. Paths must
+A file is cut into row ranges; a task reads its range of just the columns that the schema names, and of
+rows within bounds on columns, if told. Paths must
 be readable by the executors as files (a shared file system).
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +37,7 @@ class _Range(InputPartition):
 
 
 class BinaryRelation(DataSource):
-    """format("weir_binary"), options path and rowsPerTask."""
+    """format("weir_binary"), options path, rowsPerTask and bounds (JSON: column to [lo, hi], null open)."""
 
     @classmethod
     def name(cls) -> str:
@@ -46,12 +48,12 @@ class BinaryRelation(DataSource):
         return StructType([StructField(f"c{i}", DecimalType(20, 0), False) for i in range(cols)])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("rowsPerTask", ROWS_PER_TASK)), [int(f.name[1:]) for f in schema.fields])
+        return _Reader(self.options["path"], int(self.options.get("rowsPerTask", ROWS_PER_TASK)), [int(f.name[1:]) for f in schema.fields], json.loads(self.options.get("bounds", "{}")))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, step: int, columns: list[int]) -> None:
-        self.path, self.step, self.columns = path, max(1, step), columns
+    def __init__(self, path: str, step: int, columns: list[int], bounds: dict[str, list]) -> None:
+        self.path, self.step, self.columns, self.bounds = path, max(1, step), columns, bounds
 
     def partitions(self):
         rows, _ = _header(self.path)
@@ -67,18 +69,29 @@ class _Reader(DataSourceReader):
         values = np.memmap(self.path, dtype="<u8", mode="r", offset=HEADER_BYTES, shape=(cols, rows))
         for s in range(part.start, part.end, ROWS_PER_BATCH):
             e = min(part.end, s + ROWS_PER_BATCH)
-            arrays = []
+            arrays, keep = [], None
+            for c, (lo, hi) in self.bounds.items():
+                v = values[int(c), s:e]
+                for hit in ([v >= np.uint64(max(0, lo))] if lo is not None else []) + ([v <= np.uint64(max(0, hi))] if hi is not None else []):
+                    keep = hit if keep is None else keep & hit
+            n = e - s if keep is None else int(keep.sum())
+            if not n:
+                continue
             for c in self.columns:
-                low = np.zeros((e - s, 2), dtype="<u8")  # decimal128: low word, high word
-                low[:, 0] = values[c, s:e]
-                arrays.append(pa.Array.from_buffers(pa.decimal128(20, 0), e - s, [None, pa.py_buffer(low.tobytes())]))
+                low = np.zeros((n, 2), dtype="<u8")  # decimal128: low word, high word
+                low[:, 0] = values[c, s:e] if keep is None else values[c, s:e][keep]
+                arrays.append(pa.Array.from_buffers(pa.decimal128(20, 0), n, [None, pa.py_buffer(low.tobytes())]))
             yield pa.RecordBatch.from_arrays(arrays, names=[f"c{c}" for c in self.columns])
 
 
-def read_relation(spark: SparkSession, path: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Columns c0..cn of a binary relation, decimal(20,0)."""
+def read_relation(spark: SparkSession, path: str, rows_per_task: int = ROWS_PER_TASK, columns: list[int] | None = None, bounds: dict[int, tuple] | None = None) -> DataFrame:
+    """Columns c0..cn of a binary relation (or those named), decimal(20,0), and rows within bounds:
+    (lowest, highest) by column, None where open."""
     spark.dataSource.register(BinaryRelation)
-    return spark.read.format("weir_binary").option("path", path).option("rowsPerTask", str(rows_per_task)).load()
+    reader = spark.read.format("weir_binary").option("path", path).option("rowsPerTask", str(rows_per_task)).option("bounds", json.dumps(bounds or {}))
+    if columns is not None:
+        reader = reader.schema(StructType([StructField(f"c{i}", DecimalType(20, 0), False) for i in columns]))
+    return reader.load()
 
 
 def write_relation(path: str, columns: list) -> None:

@@ -63,18 +63,98 @@ STRATEGY_QUERIES = {f"join2_{s}": s for s in ("broadcast", "merge", "shuffle_has
 #: A nested-loop join enumerates the product, so it gets a filtered, small query.
 NESTED = "1 0|0.1=1.0|0.0 1.0"
 CROSS = "0 1|0.0<3&1.0>5|0.0 1.1"
-_engines: dict[tuple[int, str], Engine] = {}
+_engines: dict[tuple[str, str, str], tuple[SparkSession, Engine]] = {}
+M2M = "6 6|0.1=1.1|0.2 1.0"
+SORTED = "0|0.0>100&0.0<900|0.1 0.2"
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     """One engine for a session and folder, so that statistics are got once."""
-    key = (id(spark._jsparkSession), sf_dir)
-    if key not in _engines:
+
+    def make() -> Engine:
         e = Engine(spark)
         for i, (table, columns) in enumerate(TABLES):
             e.register(spark.read.parquet(f"{sf_dir}/{table}.parquet"), list(columns), id=i, name=table, not_null=True)
-        _engines[key] = e
-    return _engines[key]
+        return e
+
+    return _kept(spark, sf_dir, "tables", make)
+
+
+def _kept(spark: SparkSession, sf_dir: str, what: str, make) -> Engine:
+    """An engine for an application, folder and layout; the session is kept with it."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _engines or _engines[key][0] is not spark and _engines[key][0]._jsparkSession is not spark._jsparkSession:
+        _engines[key] = (spark, make())
+    return _engines[key][1]
+
+
+def unsigned_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """lineitem as relation 6, with unsigned arithmetic."""
+
+    def make() -> Engine:
+        e = Engine(spark)
+        e.register(_table(spark, sf_dir, "lineitem"), list(dict(TABLES)["lineitem"]), id=6, u64=True, not_null=True)
+        return e
+
+    return _kept(spark, sf_dir, "unsigned", make)
+
+
+def sorted_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """lineitem, range-partitioned and sorted by l_orderkey, as relation 0."""
+
+    def make() -> Engine:
+        e, path = Engine(spark), operators.shared_path(spark)
+        operators.write_sorted(_lineitem_long(spark, sf_dir), path, "l_orderkey")
+        e.register(spark.read.parquet(path), not_null=True)
+        return e
+
+    return _kept(spark, sf_dir, "sorted", make)
+
+
+def bucketed_engine(spark: SparkSession, sf_dir: str, buckets: int = 8) -> Engine:
+    """lineitem and orders as relations 0 and 1, both bucketed and sorted by the order's key."""
+
+    def make() -> Engine:
+        e = Engine(spark)
+        for table, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+            path = operators.shared_path(spark)
+            name = f"weir_{table}_{path[-8:]}"
+            operators.write_bucketed(_table(spark, sf_dir, table).select(*[F.col(c).cast("bigint").alias(c) for c in dict(TABLES)[table]]), name, key, buckets, path)
+            e.register(spark.table(name), not_null=True)
+        return e
+
+    return _kept(spark, sf_dir, "bucketed", make)
+
+
+def indexed_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """All tables, with lineitem's sums by part written out, and a histogram of its order keys."""
+
+    def make() -> Engine:
+        e = Engine(spark)
+        for i, (table, columns) in enumerate(TABLES):
+            e.register(_table(spark, sf_dir, table), list(columns), id=i, name=table, not_null=True)
+        e.build_aggregate_index(6, 1, operators.shared_path(spark))
+        e.build_histogram(6, 0)
+        return e
+
+    return _kept(spark, sf_dir, "indexed", make)
+
+
+def binary_engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """nation, a table of fixed size, from a file of the binary format as relation 0."""
+
+    def make() -> Engine:
+        import tempfile
+
+        from weir.sources.binary import write_relation
+
+        e, path = Engine(spark), f"{tempfile.mkdtemp(prefix='weir-')}/nation"
+        rows = _table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()
+        write_relation(path, [[r.n_nationkey for r in rows], [r.n_regionkey for r in rows]])
+        e.load(path)
+        return e
+
+    return _kept(spark, sf_dir, "binary", make)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +189,13 @@ def queries() -> dict:
     out["column_stats"] = lambda s, d: operators.column_stats(_table(s, d, "lineitem"), STAT_COLUMNS)
     out["is_unique"] = lambda s, d: operators.unique_columns(_table(s, d, "orders"), UNIQUE_COLUMNS)
     out["fk_check"] = _fk_report
+    out["join_many_to_many_u64"] = lambda s, d: unsigned_engine(s, d).query(M2M).select(*[F.col(f"s{i}").cast("bigint").alias(f"s{i}") for i in range(2)])
+    out["binary_scan"] = lambda s, d: binary_engine(s, d).query("0|0.1>1|0.0 0.1")
+    out["sorted_scan"] = lambda s, d: sorted_engine(s, d).query(SORTED)
+    out["bucketed_join"] = lambda s, d: bucketed_engine(s, d).query("0 1|0.0=1.0|0.1 1.1")
+    out["aggregate_index_join"] = lambda s, d: indexed_engine(s, d).query(M2M)
+    out["histogram_ordered_join"] = lambda s, d: indexed_engine(s, d).query(QUERIES["join4_chain"])
+    out["histogram_totals"] = lambda s, d: histogram(_table(s, d, "lineitem"), "l_partkey", 20).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("rows").alias("rows"))
     out["histogram"] = lambda s, d: histogram(_table(s, d, "lineitem"), "l_partkey", 20)
     return out
 
@@ -118,6 +205,12 @@ def oracle_sql() -> dict[str, str]:
     out = {name: to_sql(parse(text), tables) for name, text in QUERIES.items()}
     out |= {name: to_sql(parse(NESTED if s == "nested_loop" else JOIN2), tables) for name, s in STRATEGY_QUERIES.items()}
     out["cross_components"] = to_sql(parse(CROSS), tables)
+    out["join_many_to_many_u64"] = out["aggregate_index_join"] = to_sql(parse(M2M), tables)
+    out["binary_scan"] = to_sql(parse("0|0.1>1|0.0 0.1"), {0: dict(enumerate(TABLES))[1]})
+    out["sorted_scan"] = to_sql(parse(SORTED), {0: dict(enumerate(TABLES))[6]})
+    out["bucketed_join"] = to_sql(parse(JOIN2), tables)
+    out["histogram_ordered_join"] = out["join4_chain"]
+    out["histogram_totals"] = "SELECT MIN(l_partkey) AS lo, MAX(l_partkey) AS hi, COUNT(*) AS rows FROM lineitem"
     out["group_sums"] = "SELECT l_partkey, COUNT(*) AS n, CAST(SUM(l_orderkey) AS BIGINT) AS sum_l_orderkey, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS sum_l_quantity FROM lineitem GROUP BY l_partkey"
     out["column_stats"] = " UNION ALL ".join(f"SELECT '{c}' AS col, CAST(MIN({c}) AS BIGINT) AS min_value, CAST(MAX({c}) AS BIGINT) AS max_value, COUNT(*) AS rows FROM lineitem" for c in STAT_COLUMNS)
     out["is_unique"] = " UNION ALL ".join(f"SELECT '{c}' AS col, CAST(COUNT(DISTINCT {c}) = COUNT(*) AS INTEGER) AS is_unique FROM orders" for c in UNIQUE_COLUMNS)
