@@ -38,7 +38,7 @@ class Scratch:
     def write(self, df: DataFrame) -> str:
         self.count += 1
         path = f"{self.base}/{self.count:03d}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
         return path
 
     def table(self, df: DataFrame) -> DataFrame:
