@@ -46,6 +46,76 @@ def test_resynchronisation_and_checksums():
     assert mpeg.scan(b"")["frames"] == [] and mpeg.scan(b"\xff" * 50)["duration"] == 0
 
 
+def naive_crc(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = ((c << 1) & 0xFFFF) ^ (0x8005 if (c >> 15) ^ b else 0)
+    return c
+
+
+@pytest.mark.parametrize("layer,mode,index,bands,bound", [(1, 0, 5, [4] * 32, 32), (1, 1, 5, [4] * 32, 8), (1, 3, 5, [4] * 32, 32), (2, 0, 12, [4] * 11 + [3] * 12 + [2] * 7, 30), (2, 1, 12, [4] * 11 + [3] * 12 + [2] * 7, 8), (2, 3, 1, [4, 4, 3, 3, 3, 3, 3, 3], 8)])
+def test_checksums_of_layers_one_and_two(layer, mode, index, bands, bound):
+    import random
+
+    r = random.Random(index + mode)
+    word = 0x7FF << 21 | 3 << 19 | (4 - layer) << 17 | index << 12 | mode << 6 | 1 << 4  # 44.1 kHz, bound 8 if joint
+    h = mpeg.header(word)
+    bits, chosen = [], 0
+    for band, n in enumerate(bands):
+        for _ in range(1 if mode == 3 or band >= bound else 2):
+            v = r.choice([0, r.randrange(1 << n)])
+            bits += [v >> n - 1 - i & 1 for i in range(n)]
+            chosen += (v > 0) * (1 if mode == 3 or band < bound else 2)
+    if layer == 2:
+        bits += [r.randrange(2) for _ in range(2 * chosen)]
+    head = word.to_bytes(4, "big")
+    crc = naive_crc([word >> 15 - i & 1 for i in range(16)] + bits)
+    raw = "".join(map(str, bits)).ljust(8 * (h.size - 6), "1")
+    frame = head + crc.to_bytes(2, "big") + int(raw, 2).to_bytes(h.size - 6, "big")
+    s = mpeg.scan(frame * 3)
+    assert (len(s["frames"]), s["crc_ok"], s["crc_bad"]) == (3, 3, 0)
+    broken = frame[:6] + bytes([frame[6] ^ 0x80]) + frame[7:]
+    s = mpeg.scan(frame + broken + frame)
+    assert (s["crc_ok"], s["crc_bad"]) == (2, 1)
+
+
+def test_tags_and_tables():
+    import struct
+
+    body = mpeg.encode(b"x" * 5000)
+    plain = mpeg.scan(body)
+    assert plain["table"]["agrees"] and len(plain["table"]["points"]) == 100 and plain["table"]["points"][0] == plain["table"]["at"]
+    audio = body[plain["table"]["at"] :]
+    old = b"TT2\0\0\x05\0name" + b"TXX\0\0\x06\0ab\0\xff\0c"
+    tag = b"ID3\x02\0\x80" + mpeg._syncsafe(len(old)) + old
+    n, tags = mpeg.read_id3v2(tag + audio)
+    assert n == len(tag) and tags["TT2"] == "name" and "TXXX:ab" in tags
+    item = struct.pack("<II", 3, 0) + b"Artist\0abc"
+    ape = item + b"APETAGEX" + struct.pack("<IIII", 2000, len(item) + 32, 1, 0) + bytes(8)
+    v1 = b"TAG" + b"title".ljust(125, b"\0")
+    s = mpeg.scan(audio + ape + v1)
+    assert s["tags"]["APE:Artist"] == "abc" and s["tags"]["TIT2"] == "title" and s["junk"] == 0 and s["table"]["agrees"]
+    assert not mpeg.scan(audio[:-1])["table"]["agrees"]
+    # an encoder's delay and padding are not played
+    at = 4 + 2 + 17 + 16 + 100
+    lame = audio[:at] + b"LAME3.100" + bytes(12) + (576 << 12 | 100).to_bytes(3, "big") + audio[at + 24 :]
+    s = mpeg.scan(lame)
+    assert s["duration"] == mpeg.Fraction(s["samples"] - 676, 32000) and (s["table"]["delay"], s["table"]["padding"]) == (576, 100)
+    vbri = audio[:23] + bytes(13) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, len(audio), len(s["frames"]), 3, 2, 2, 1) + struct.pack(">HHH", 10, 20, 30)
+    size = plain["frames"][0][0] - plain["table"]["at"]
+    s = mpeg.scan(vbri.ljust(size, b"\0") + audio[size:])
+    assert s["table"]["kind"] == "VBRI" and s["table"]["points"] == [0, 20, 60] and s["table"]["agrees"]
+    assert len(mpeg.scan(audio, 1)["seek"]) == len(plain["frames"])
+
+
+def test_probe_leaves_out_clashing_columns(spark):
+    df = spark.createDataFrame([(1, bytearray(mpeg.encode(b"y" * 192)), "a", 5), (2, None, "b", 6), (2, None, "b", 6)], "doc_id long, media binary, Frames string, own int")
+    rows = sorted(media.probe(df, seek_every=1).collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.own, r.frames) for r in rows] == [(1, 5, 1), (2, 6, 0), (2, 6, 0)]
+    assert rows[0].tags == {"TXXX:payload_bytes": "192"} and rows[1].tags == {}
+    assert media.probe(df.limit(0)).count() == 0
+
+
 def test_headers():
     h = mpeg.header(0xFFFB9064)
     assert (h.version, h.layer, h.kbps, h.rate, h.size, h.samples, h.protected) == (1, 3, 128, 44100, 417, 1152, False)

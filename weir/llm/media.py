@@ -53,40 +53,48 @@ def store(docs: DataFrame) -> DataFrame:
 FEATURES = (
     "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
     "frames long, samples long, sample_rate int, duration_num long, duration_den long, vbr boolean, table_kind string, "
-    "crc_ok long, crc_bad long, junk_bytes long, resyncs int, truncated boolean, seek_every int, seek_offsets array<long>"
+    "crc_ok long, crc_bad long, junk_bytes long, resyncs int, truncated boolean, seek_every int, seek_offsets array<long>, "
+    "table_frames long, table_bytes long, table_agrees boolean, table_points array<long>, delay int, padding int, tags map<string,string>"
 )
 
 
-def features(media: bytes | None) -> tuple:
+def features(media: bytes | None, seek_every: int = 64) -> tuple:
     """The values of FEATURES for one stream; null counts as empty. Never raises on junk."""
     from weir.llm import mpeg
 
     data = media or b""
-    s = mpeg.scan(data)
+    s = mpeg.scan(data, seek_every)
     payload = mpeg.decode(data, s) if s["tags"].get("TXXX:payload_bytes", "").isdigit() else b""
     d = s["duration"]
-    kind = s["table"]["kind"] if s["table"] else None
+    table = s["table"] or {}
+    kind = table.get("kind")
     text = f"mp{s['frames'][0][1].layer if s['frames'] else 0}/{s['rate']}Hz/{'vbr' if s['vbr'] else 'cbr'}/{len(s['frames'])}f/{d.numerator}:{d.denominator}s/crc{s['crc_ok']}-{s['crc_bad']}/{kind or 'none'}"
     return (
         len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), text,
-        len(s["frames"]), s["samples"], s["rate"], d.numerator, d.denominator, s["vbr"], kind, s["crc_ok"], s["crc_bad"], s["junk"], s["resyncs"], s["truncated"], mpeg.SEEK_EVERY, s["seek"],
+        len(s["frames"]), s["samples"], s["rate"], d.numerator, d.denominator, s["vbr"], kind, s["crc_ok"], s["crc_bad"], s["junk"], s["resyncs"], s["truncated"], seek_every, s["seek"],
+        *[table.get(x) for x in ("frames", "bytes", "agrees", "points")], table.get("delay", 0), table.get("padding", 0), list(s["tags"].items()),
     )
 
 
-def probe(df: DataFrame, media: str = "media") -> DataFrame:
+def probe(df: DataFrame, media: str = "media", seek_every: int = 64) -> DataFrame:
     """df's other columns and FEATURES of its media column: duration as an exact fraction,
-    seek offsets of every seek_every-th frame, checksum verdicts, table kind, junk passed over."""
+    seek offsets of every seek_every-th frame (1: of all), checksum verdicts, junk passed over, tags, and
+    what the variable-bitrate table tells.
+
+    Null media counts as empty and has no frames. The media column and columns of df that are named
+    like one of FEATURES (in any case) are left out. Repeated rows stay; an empty table gives none.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     names = [x.split()[0] for x in FEATURES.split(", ")]
-    rest = [c for c in df.columns if c != media and c not in names]
+    rest = [c for c in df.columns if c != media and c.lower() not in names]
     out = StructType([df.schema[c] for c in rest] + StructType.fromDDL(FEATURES).fields)
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            rows = [features(x.as_py(), seek_every) for x in batch.column(batch.num_columns - 1)]
             cols = list(zip(*rows)) or [()] * len(names)
             arrays = [batch.column(i).cast(schema.field(i).type) for i in range(len(rest))]
             arrays += [pa.array(list(c), schema.field(len(rest) + i).type) for i, c in enumerate(cols)]
