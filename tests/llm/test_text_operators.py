@@ -321,6 +321,31 @@ def test_forward_backward_is_exact():
     assert np.allclose(post[0], want / want.sum(1, keepdims=True))
 
 
+def test_long_texts_are_one_chain():
+    import numpy as np
+
+    g = np.random.default_rng(4)
+    words = [f"w{'abcdefghij'[i]}x" for i in range(10)]
+    model = language.fit([(" ".join(words[:5] * 8), "aa"), (" ".join(words[5:] * 8), "bb"), (" ".join(words[3:8] * 8), "cc")], rounds=2)
+    model.transitions = np.log(g.random((3, 3)) ** 3 + 1e-3)
+    texts = [" ".join(g.choice([*words, "7"], n)) for n in (3, 255, 256, 257, 512, 1100, 40)] + [""]
+    use = language.Labeller(model)
+    got = use.posteriors(texts)
+    for ids, post in zip(use.encode(texts), got):
+        if len(ids):
+            want = language._forward_backward(use.e[ids][None].astype("float64"), np.exp(model.transitions))[0][0]
+            want[ids == 0] = 0
+            assert np.allclose(post, want, atol=1e-4)
+
+
+def test_long_tokens_count_whole():
+    assert language.words_of("a" * 40 + " b") == ["a" * 40, "b"]
+    assert language.words_of("x" * 95 + " b") == ["x" * 40, "x" * 40, "x" * 15, "b"]
+    model = language.fit([(" ".join(["foka"] * 60), "aa"), (" ".join(["zirre"] * 60), "bb")])
+    paragraph = "foka" * 5 + "zirre" * 400 + "foka" * 5
+    assert language.Labeller(model).documents([paragraph])[0][0] == "bb"
+
+
 # -- toxicity
 def test_toxicity(spark):
     rows, labels = [], []

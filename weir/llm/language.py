@@ -27,8 +27,10 @@ BUCKETS = 1 << 15
 #: Labelled rows that the fit gathers at most (all languages together), and characters of one.
 SAMPLE_ROWS = 1200
 SAMPLE_CHARS = 20_000
-#: A chain has at most so many words; longer texts are several chains.
+#: Words of a text that are handled in one step each; a longer text is several stretches of one chain.
 CHAIN = 256
+#: Longer white-space tokens (paragraphs of scripts without spaces) are cut into words of so many characters.
+WORD_CHARS = 40
 LEXICON = 400
 #: Words that are handled together, and bytes that a kept word costs besides its letters, about.
 GROUP_WORDS = 100_000
@@ -49,9 +51,17 @@ def core(token: str) -> str:
     return token[s:e]
 
 
+def words_of(text: str) -> list[str]:
+    """White-space tokens, none over WORD_CHARS characters."""
+    tokens = text.split()
+    if max(map(len, tokens), default=0) <= WORD_CHARS:
+        return tokens
+    return [t[p : p + WORD_CHARS] for t in tokens for p in range(0, len(t), WORD_CHARS)]
+
+
 def features(word: str, lexicons: dict[str, int]) -> list[int]:
-    """Feature numbers of a core. Very long words give their first and last n-grams."""
-    w = f"^{word}$" if len(word) <= 40 else f"^{word[:20]}{word[-20:]}$"
+    """Feature numbers of a core."""
+    w = f"^{word}$"
     names = [f"p{word[:2]}", f"s{word[-2:]}", f"s{word[-4:]}", f"l{lexicons.get(word, 0)}", *[w[i : i + 3] for i in range(len(w) - 2)]]
     return [zlib.crc32(x.encode("utf-8", "replace")) & BUCKETS - 1 for x in names]
 
@@ -97,7 +107,7 @@ def fit(rows: list[tuple[str, str]], rounds: int = 40, seed: int = 7) -> Model:
     rng = random.Random(seed)
     labels = sorted({lang for _, lang in rows})
     number = {lang: i for i, lang in enumerate(labels)}
-    texts = [([c for c in map(core, t.split()) if c], number[lang]) for t, lang in rows]
+    texts = [([c for c in map(core, words_of(t)) if c], number[lang]) for t, lang in rows]
     counts = [Counter() for _ in labels]
     for words, lang in texts:
         counts[lang].update(words)
@@ -179,7 +189,7 @@ class Labeller:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.held > CACHE_BYTES:
             self.clear()
-        tokens = [t.split() for t in texts]
+        tokens = [words_of(t) for t in texts]
         found = [list(map(self.rows.get, x)) for x in tokens]
         new: dict[str, int] = {}
         for x, got in zip(tokens, found):
@@ -213,28 +223,60 @@ class Labeller:
         word = np.zeros((len(chains), t), "int64")
         for j, (d, p, n) in enumerate(chains):
             word[j, :n] = ids[d][p : p + n]
+        before, after, parts = self._borders(chains, word, size)
         alphas, scales = [], []
         for i in range(t):
             e = self.e[word[: live[i], i]]
-            a = e if i == 0 else (alphas[-1][: live[i]] @ self.m) * e
+            a = e * before if i == 0 else (alphas[-1][: live[i]] @ self.m) * e
             z = a.sum(1, keepdims=True)
             alphas.append(a / z)
             scales.append((e, z))
         post = np.empty((len(chains), t, len(self.model.labels)), "float32")
-        b = np.ones((live[-1], self.m.shape[0]), "float32")
+        b = after[: live[-1]]
         for i in range(t - 1, -1, -1):
             if i < t - 1:
                 e, z = scales[i + 1]
                 b = ((b * e / z) @ self.m.T)
                 if live[i] > len(b):
-                    b = np.concatenate([b, np.ones((live[i] - len(b), b.shape[1]), "float32")])
+                    b = np.concatenate([b, after[len(b) : live[i]]])
             post[: live[i], i] = alphas[i] * b
         for j, (d, p, n) in enumerate(chains):
-            out[d][p : p + n] = post[j, :n]
+            out[d][p : p + n] = post[j, :n] / post[j, :n].sum(1, keepdims=True) if j in parts else post[j, :n]
         for d, x in enumerate(ids):  # words without letters have no language
             out[d][x == 0] = 0
         return out
 
+    def _borders(self, chains: list[tuple[int, int, int]], word: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, set[int]]:
+        """What the words before a stretch say of its first label, what those after it say of its
+        last one, and which stretches are parts of longer texts. Each part is brought down to one
+        matrix, and messages pass through these, so a text of any length is one chain, exactly."""
+        k = self.m.shape[0]
+        before, after = np.ones((len(chains), k), "float32"), np.ones((len(chains), k), "float32")
+        long = {d for d, p, _ in chains if p}
+        parts = [j for j, c in enumerate(chains) if c[0] in long]
+        if not parts:
+            return before, after, set()
+        w, n, m = word[parts], size[parts], self.m.astype("float64")
+        f = np.eye(k) * self.e[w[:, 0]].astype("float64")[:, None, :]
+        for i in range(1, int(n[0])):
+            live = int((n > i).sum())
+            g = (f[:live].reshape(-1, k) @ m).reshape(live, k, k) * self.e[w[:live, i]][:, None, :]
+            f[:live] = g / g.max((1, 2), keepdims=True)
+        order = sorted(range(len(parts)), key=lambda i: chains[parts[i]][:2])
+        for i in order:
+            x = x if chains[parts[i]][1] else np.ones(k)
+            before[parts[i]] = x
+            x = x @ f[i] @ m
+            x /= x.sum()
+        last = None
+        for i in reversed(order):
+            d = chains[parts[i]][0]
+            x = x if d == last else np.ones(k)
+            after[parts[i]], last = x, d
+            x = m @ (f[i] @ x)
+            x /= x.sum()
+        return before, after, set(parts)
+
     def documents(self, texts: list[str | None]) -> list[tuple[str, float, int, int]]:
         """(language, score, words with letters, switches between words) of each text."""
         res = []
@@ -289,8 +331,8 @@ PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, n_wo
 
 
 def identify(docs: DataFrame, model=None) -> DataFrame:
-    """PREDICTED for every row: language, its share of the words' probability, words with letters,
-    and how often the likeliest language changes from word to word. Null, empty and letterless
+    """PREDICTED for every row: language, its share of the words' probability, words with letters
+    (of a token over WORD_CHARS characters its pieces), and how often the likeliest language changes from word to word. Null, empty and letterless
     texts are `und` with score 0. model: a broadcast Model; else one is fitted on docs."""
     shared = model or trained(docs)
 
@@ -318,7 +360,8 @@ def by_words(batch: pa.RecordBatch, at: int = 2) -> Iterator[tuple[pa.RecordBatc
 
 def accept(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without those that have no letter, or whose language has less than `least` of the
-    words' probability; lang becomes the predicted one. Other columns stay."""
+    words' probability; lang becomes the predicted one. Other columns stay. Null and empty texts have
+    no letter; repeated rows are judged alike; a null lang doesn't matter; an empty table stays empty."""
     shared, schema = trained(docs), docs.schema
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
