@@ -384,5 +384,23 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return stay.select(*[f"`{c}`" for c in docs.columns])
 
 
+#: groups() of all documents by plain comparison; for small tables, as its closure is quadratic in a group.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+), tokens AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
+), links AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM sets UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON reach.other = links.x
+)
+SELECT doc_id, any_value(len(s))::BIGINT AS n_shingles, min(other)::BIGINT AS component_id FROM sets JOIN reach USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -24,6 +24,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SimHash, learned models, tokenisers and seeded hashes have no SQL counterpart; those
-    queries are tested against brute force in tests/llm."""
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    """Learned models, tokenisers, licence rules, PageRank and seeded hashes have no SQL
+    counterpart; those queries are tested against brute force in tests/llm."""
+    return {"op10_jaccard": jaccard.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
