@@ -250,6 +250,16 @@ def test_jaccard(spark):
     assert jaccard.groups(df.limit(0)).count() == 0
 
 
+def test_jaccard_sql(spark):
+    import duckdb
+
+    with duckdb.connect() as db:
+        db.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+        want = db.execute(jaccard.ORACLE_SQL).fetchall()
+    got = [tuple(r) for r in jaccard.op10(spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(want) and any(a != c for a, _, c in got)
+
+
 def test_bitmaps_bound_differences():
     for n in (1, 40, 1500, 70_000):
         a = jaccard.np.random.default_rng(n).integers(0, 1 << 63, n, "uint64")
