@@ -1,6 +1,7 @@
 """The corpus pipeline: language, copied lines, near copies, benchmark leaks, packing.
 
-Each stage takes what the one before kept; run() writes every stage's rows to the shared folder
+Nulls, repeated rows and empty tables are handled as the operators' docstrings say. Each stage takes
+what the one before kept; run() writes every stage's rows to the shared folder
 and reads them again, so a lost executor never costs more than the stage at work.
 """
 
@@ -39,7 +40,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", by_language), ("line dedup", without_copied_lines), ("near copies", without_near_copies), ("decontamination", without_benchmark), ("packing", packed)]
 
-#: Models, SimHash and tokenisers can't be said in SQL.
+#: Models and tokenisers can't be said in SQL.
 ORACLE_SQL = None
 
 
