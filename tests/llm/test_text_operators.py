@@ -212,6 +212,26 @@ def test_one_word_edits_are_found(spark):
     assert sum(v for i, v in got.items() if i % 2 == 0 or i >= 400) == 0
 
 
+def test_edits_of_several_long_words_are_found(spark):
+    """Lines keep a link if two of their five longest words are changed; by words, lines of more than
+    LONG characters do whatever their lengths in characters."""
+    pick = random.Random(11)
+    word = lambda low, high: "".join(pick.choice("abcdefghijklmnop") for _ in range(pick.randint(low, high)))
+    docs = []
+    for n in (10, 20, 40):
+        for k in range(30):
+            w = [word(7, 12) for _ in range(5)] + [word(2, 6) for _ in range(n - 5)]
+            order, changed = pick.sample(range(n), n), pick.sample(range(5), 2)
+            docs.append([w[i] for i in order])
+            docs.append([w[i][:2] + "q" + w[i][3:] if i in changed else w[i] for i in order])
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    w = [word(14, 16) for _ in range(6)] + [word(2, 3) for _ in range(194)]
+    long = [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:6] + ["".join(chr(114 + (i * j) % 8) for j in range(1, 7)) for i in range(30)] + w[36:]))]
+    assert len(long[0][1]) > line_dedup.LONG and len(long[0][1]) * 100 < len(long[1][1]) * 90
+    got = {r.doc_id: r.n_gone for r in line_dedup.dedup(spark.createDataFrame(rows + long, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == [0, 1] * 90 and got[len(rows) + 1] == 1
+
+
 def test_strip_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "a line of five words", 77, 88), (2, "a line of five words", 77, 88), (3, None, 1, 2), (4, "v" * 300_000, 1, 2), (4, "v" * 300_000, 1, 2), (None, "x", None, None)], "doc_id long, text string, n_lines int, n_gone int")
     got = sorted(((r.doc_id, r.text and len(r.text), r.n_lines, r.n_gone) for r in line_dedup.strip(df).collect()), key=str)

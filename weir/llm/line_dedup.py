@@ -5,7 +5,9 @@ ones are one class. The fingerprint of a class has BLOCKS blocks, the hashes of
 words (a fixed order: length, then hash). Whatever changes BLOCKS - AGREE words of a line leaves
 AGREE blocks as they were (pigeonhole), so every choice of AGREE blocks is a join key. Pairs that may
 join two groups are verified by edit similarity, and the first occurrence of a connected group, by
-doc_id and line, stays.
+doc_id and line, stays. Pairs that don't share AGREE blocks are not found, however similar: more than
+BLOCKS - AGREE of the longest words are changed, as a letter in each word does at an edit similarity
+of 0.8.
 
 The fingerprint takes the place of a 64-bit SimHash, which can't give right results here: a word
 changed in a line of n turns about 64 arccos(1 - 1/n) / pi of its bits (10 at 8 words, 6 at 20, 5 at
@@ -26,7 +28,7 @@ from weir.llm.common import Scratch, components, fresh, small
 #: Shorter lines take no part in fuzzy links; of exact copies they do if asked for.
 LEAST_WORDS = 5
 #: Blocks of a fingerprint, and how many of them two lines share that are compared.
-BLOCKS, AGREE = 4, 3
+BLOCKS, AGREE = 5, 3
 #: Characters from which words are ranked alone, where a line has BLOCKS of them.
 LONG_WORD = 7
 PERCENT = 80
@@ -157,7 +159,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     long = F.greatest(F.length("s"), F.length("t")) > LONG
     words = lambda x: F.split(x, " ")
     size = F.when(long, F.greatest(F.size(words("s")), F.size(words("t")))).otherwise(F.greatest(F.length("s"), F.length("t")))
-    both = pairs.join(left, "a").join(right, "b").where(F.least(F.length("s"), F.length("t")) * 100 >= F.greatest(F.length("s"), F.length("t")) * percent)
+    like = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    both = pairs.join(left, "a").join(right, "b").where(F.when(long, like(F.size(words("s")), F.size(words("t")))).otherwise(like(F.length("s"), F.length("t"))))
     both = once(both, "a", "b", long=long, budget=F.floor(size * (100 - percent) / 100).cast("int"), u=words("s"), v=words("t"))
 
     def alike(u: str, v: str) -> Column:
