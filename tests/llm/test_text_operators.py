@@ -232,6 +232,31 @@ def test_edits_of_several_long_words_are_found(spark):
     assert [got[i] for i, _ in rows] == [0, 1] * 90 and got[len(rows) + 1] == 1
 
 
+def test_texts_wanted_by_bitmap(spark):
+    rows = spark.range(-3000, 3000).selectExpr("xxhash64(id) k1", "id")
+    named = rows.where("id % 7 = 0").select("k1")
+    got = {r.id for r in line_dedup._among(rows, named).collect()}
+    assert set(range(-2996, 3000, 7)) <= got and len(got) < 900
+
+
+def test_lines_with_a_common_passage(spark, monkeypatch):
+    """Unlike lines that share their longest words: all their pairs are compared, in several blocks,
+    but few of them are rows. Links as by brute force."""
+    pick = random.Random(12)
+    word = lambda low, high: "".join(pick.choice("abcdefghijklmnop") for _ in range(pick.randint(low, high)))
+    passage, tails = [word(9, 12) for _ in range(7)], [[word(2, 7) for _ in range(pick.choice((20, 24, 110)))] for _ in range(130)]
+    for i in range(0, 20, 2):
+        tails[100 + i] = tails[i][: len(tails[i]) - 1] + [word(2, 4)]
+    lines = [" ".join(t + passage) for t in tails]
+    asked, similar = [], line_dedup._similar
+    monkeypatch.setattr(line_dedup, "_similar", lambda pairs, *rest: asked.append(pairs.count()) or similar(pairs, *rest))
+    for name, value in (("HOT", 16), ("BLOCK", 30)):
+        monkeypatch.setattr(line_dedup, name, value, raising=False)
+    got = {r.doc_id: r.n_gone for r in line_dedup.dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == {i: int(100 <= i < 120 and i % 2 == 0) for i in range(130)}
+    assert sum(asked) < 10 * len(lines)
+
+
 def test_strip_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "a line of five words", 77, 88), (2, "a line of five words", 77, 88), (3, None, 1, 2), (4, "v" * 300_000, 1, 2), (4, "v" * 300_000, 1, 2), (None, "x", None, None)], "doc_id long, text string, n_lines int, n_gone int")
     got = sorted(((r.doc_id, r.text and len(r.text), r.n_lines, r.n_gone) for r in line_dedup.strip(df).collect()), key=str)

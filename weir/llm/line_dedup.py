@@ -20,10 +20,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weir.llm.common import Scratch, components, fresh, small
+from weir.llm.common import BROADCAST_ROWS, Scratch, components, fresh, small
 
 #: Shorter lines take no part in fuzzy links; of exact copies they do if asked for.
 LEAST_WORDS = 5
@@ -35,6 +35,10 @@ PERCENT = 80
 #: Lines of more characters are compared by words: the cost grows with the square of the length.
 LONG = 512
 STAR_ROUNDS = 2
+#: Keys of more classes that are still apart are compared inside tasks, in squares of blocks of BLOCK.
+HOT, BLOCK = 32, 256
+#: Bits of the bitmap of classes whose texts are wanted, 2 ** MAP_BITS / 8 bytes to each executor.
+MAP_BITS = 26
 #: What parts words besides spaces, and becomes one: all of Latin-1 but line breaks, letters and
 #: digits (each by itself: a class without ranges is one table look-up a character); and the blocks
 #: of typographic and East Asian punctuation.
@@ -84,10 +88,23 @@ def keys(cls: DataFrame) -> DataFrame:
     return cls.where("w0 is not null").select("id", F.explode(F.array_distinct(F.array(*each))).alias("key")).where("key is not null")
 
 
+def posts_of(cls: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, id, lo, c: the classes of each key that several have, its smallest id and their number.
+    Of keys with the same classes, whose pairs are the same, there is one."""
+    w = Window.partitionBy("key")
+    # sets of classes are told apart by sums of hashes of their ids
+    marks = [F.bit_xor(F.xxhash64("id")).over(w).alias("h1"), F.sum(F.shiftright(F.xxhash64("id", F.lit(17)), 32)).over(w).alias("h2")]
+    met = scratch.table(keys(cls).select("key", "id", F.count(F.lit(1)).over(w).alias("c"), F.min("id").over(w).alias("lo"), *marks).where("c > 1"))
+    one = met.where("id = lo").groupBy("c", "lo", "h1", "h2").agg(F.min("key").alias("key"))
+    posts = scratch.table(met.select("key", "id", "lo", "c").join(one.select("key"), "key", "left_semi"))
+    scratch.drop(met)
+    return posts
+
+
 def _placed(posts: DataFrame, comp: DataFrame) -> DataFrame:
-    """posts with the component of each class, under the keys that hold several components, and the
-    ends lo and hi of those keys by component."""
-    p = posts.join(small(comp, comp.count()), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    """key, id, c and component of posts, under the keys that hold several components, and the ends
+    lo and hi of those keys by component."""
+    p = posts.select("key", "id", "c").join(small(comp, comp.count()), "id", "left").withColumn("component", F.coalesce("component", "id"))
     # a component a row and key is enough to know a key's ends; min and max of pairs as two longs each
     ends = p.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     return p.join(ends, "key")
@@ -102,41 +119,92 @@ def _stars(placed: DataFrame) -> DataFrame:
 
 
 def _open(placed: DataFrame) -> DataFrame:
-    """a < b: all pairs of classes of different components that share a key."""
+    """a < b: all pairs of classes of different components that share a key of at most HOT classes."""
+    placed = placed.where(F.col("c") <= HOT)
     p = placed.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
     q = placed.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
     return p.join(q, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
 
 
+def _hot(placed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """a < b: the similar pairs of classes of different components that share a key of more than HOT.
+
+    All of a key's pairs are compared, each under the smallest key it shares, but none is a row: the
+    classes are dealt into blocks by length, two blocks meet in a row, and its pairs are formed and
+    verified by higher-order functions. A class goes to as many rows as its key has blocks."""
+    hot = placed.where(F.col("c") > HOT).select("key", "id", "component")
+    shared = hot.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("shared"))  # at most a number of keys that BLOCKS and AGREE fix
+    letters = F.array_join(F.transform(F.split("norm", " "), _letter), "")
+    own = texts.join(shared, "id").select("id", "shared", F.length("norm").alias("n"), F.size(F.split("norm", " ")).alias("words"), _longest(F.split("norm", " "), F.array().cast("array<string>")).alias("most"), "norm", letters.alias("letters"))
+    own = own.withColumn("norm", F.when(F.col("n") <= LONG, F.col("norm")))  # of longer ones only words are compared
+    at = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "id")) - 1) / BLOCK).cast("int")
+    dealt = hot.join(own, "id").withColumn("block", at).withColumn("top", F.max("block").over(Window.partitionBy("key")))
+    each = dealt.select("key", "block", F.struct("id", "component", "shared", "n", "words", "most", "norm", "letters").alias("m"), F.explode(F.sequence(F.lit(0), F.col("top"))).alias("other"))
+    low = F.col("block") <= F.col("other")
+    cell = each.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.when(low, F.col("m"))).alias("u"), F.collect_list(F.when(~low | (F.col("block") == F.col("other")), F.col("m"))).alias("v"))
+
+    def near(x: Column, y: Column) -> Column:
+        long = F.greatest(x.n, y.n) > LONG
+        most = lambda a, b: F.floor(F.greatest(a, b) * (100 - percent) / 100).cast("int")
+        like = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
+        lev = lambda a, b, budget: F.call_function("levenshtein", a, b, budget) >= 0
+        # as in _similar(): a word turned costs so many characters at most
+        few = F.floor(most(x.n, y.n) / (F.greatest(x.most, y.most) + 1)).cast("int")
+        by_words = like(x.words, y.words) & lev(x.letters, y.letters, most(x.words, y.words))
+        by_letters = like(x.n, y.n) & (lev(x.letters, y.letters, few) | lev(x.norm, y.norm, most(x.n, y.n)))
+        first = F.array_min(F.array_intersect(x.shared, y.shared)) == F.col("key")
+        sized = F.when(long, like(x.words, y.words)).otherwise(like(x.n, y.n))
+        return (x.component != y.component) & sized & ((F.col("i") < F.col("j")) | (x.id < y.id)) & first & F.when(long, by_words).otherwise(by_letters)
+
+    pair = lambda x, y: F.struct(F.least(x.id, y.id).alias("a"), F.greatest(x.id, y.id).alias("b"))
+    found = F.flatten(F.transform("u", lambda x: F.transform(F.filter("v", lambda y: near(x, y)), lambda y: pair(x, y))))
+    return cell.select(F.inline(found))
+
+
+def _among(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows whose k1 is one of named, and a few others: by a bitmap of the first MAP_BITS bits of
+    k1, in pieces of 4096 bytes, so that the rest of a large table isn't shuffled."""
+    bits = F.shiftrightunsigned("k1", 64 - MAP_BITS)
+    piece, bit = F.shiftright(bits, 15).cast("int"), bits.bitwiseAND(F.lit(32767))
+    maps = named.select(piece.alias("piece"), bit.alias("bit")).repartition("piece").groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("map"))
+    byte = F.conv(F.hex(F.substring(F.col("map"), F.shiftright(bits.bitwiseAND(F.lit(32767)), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.pmod(F.floor(byte / F.pow(F.lit(2), bits.bitwiseAND(F.lit(7)))), F.lit(2)) == 1
+    return rows.withColumn("piece", piece).join(F.broadcast(maps), "piece").where(held).select(*rows.columns)
+
+
 def links(lines: DataFrame, cls: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Links a, b and components id, component of classes whose normalised lines have edit
     similarity of percent / 100 or more and share a key. lines: as lines_of() gives them; cls: id, k1,
     k2, w0 ..
 
     A key's first member is compared with all others; then STAR_ROUNDS - 1 times each class with a
-    member of another component; then all pairs of components that are still apart. So a group of n
-    copies costs n comparisons, and links are left out only where they would join what is joined."""
-    met = scratch.table(keys(cls).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("c")).where("c > 1"))
-    more = met.where("c > 2").select("key", "lo")  # of the others lo and hi are all
-    posts = scratch.table(keys(cls).join(small(more, more.count()), "key"))
-    pairs = met.where("c = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(posts.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))).distinct()
-    tried = scratch.table(pairs)
-    wanted = scratch.table(tried.select(F.col("a").alias("id")).union(tried.select(F.col("b").alias("id"))).distinct())
+    member of another component; then all pairs of components that are still apart, those of hot
+    keys inside tasks. So a group of n copies costs n comparisons, and links are left out only where
+    they would join what is joined. n classes of one key that are no copies cost n * n / 2."""
+    posts = posts_of(cls, scratch)
+    tried = scratch.table(posts.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct())
+    wanted = scratch.table(posts.select("id").distinct())
     named = cls.select("id", "k1", "k2").join(small(wanted, n := wanted.count()), "id")
-    texts = scratch.table(lines.select("k1", "k2", "norm").join(small(named, n), ["k1", "k2"]).groupBy("id").agg(F.min("norm").alias("norm")))
+    rows = lines.select("k1", "k2", "norm")
+    rows = rows if n <= BROADCAST_ROWS else _among(rows, named)
+    texts = scratch.table(rows.join(small(named, n), ["k1", "k2"]).groupBy("id").agg(F.min("norm").alias("norm")))
     good = scratch.table(_similar(tried, texts, percent))
     comp = components(good, scratch)
-    posts = posts.select("key", "id")
     for step in range(1, STAR_ROUNDS + 1):
         placed = scratch.table(_placed(posts, comp))
-        pairs = _stars(placed) if step < STAR_ROUNDS else _open(placed)
+        last = step == STAR_ROUNDS
+        pairs = _open(placed) if last else _stars(placed)
         fresh_pairs = scratch.table(pairs.join(tried, ["a", "b"], "left_anti"))
-        if not fresh_pairs.isEmpty():
+        found = [_similar(fresh_pairs, texts, percent)] if not fresh_pairs.isEmpty() else []
+        if last and not placed.where(F.col("c") > HOT).isEmpty():
+            found.append(_hot(placed, texts, percent))
+        if found:
             tried = tried.union(fresh_pairs)
-            good = scratch.table(good.union(_similar(fresh_pairs, texts, percent)))
+            for f in found:
+                good = good.union(scratch.table(f))
             comp = components(good, scratch)
         scratch.drop(placed)
-    scratch.drop(met, wanted, texts, tried)
+    scratch.drop(posts, wanted, texts, tried)
     return good, comp
 
 
