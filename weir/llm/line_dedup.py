@@ -141,7 +141,9 @@ def _hot(placed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     dealt = hot.join(own, "id").withColumn("block", at).withColumn("top", F.max("block").over(Window.partitionBy("key")))
     each = dealt.select("key", "block", F.struct("id", "component", "shared", "n", "words", "most", "norm", "letters").alias("m"), F.explode(F.sequence(F.lit(0), F.col("top"))).alias("other"))
     low = F.col("block") <= F.col("other")
-    cell = each.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.when(low, F.col("m"))).alias("u"), F.collect_list(F.when(~low | (F.col("block") == F.col("other")), F.col("m"))).alias("v"))
+    each = each.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    # a number of tasks is given: by bytes, adaptive execution would put all into a few
+    cell = each.repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "key", "i", "j").groupBy("key", "i", "j").agg(F.collect_list(F.when(low, F.col("m"))).alias("u"), F.collect_list(F.when(~low | (F.col("block") == F.col("other")), F.col("m"))).alias("v"))
 
     def near(x: Column, y: Column) -> Column:
         long = F.greatest(x.n, y.n) > LONG
