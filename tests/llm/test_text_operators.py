@@ -257,6 +257,29 @@ def test_lines_with_a_common_passage(spark, monkeypatch):
     assert sum(asked) < 10 * len(lines)
 
 
+def test_links_of_hot_keys_are_forests(spark, monkeypatch):
+    """Near copies that are all apart yet, under keys of many classes: links join what brute force
+    joins, and there are fewer than members of cells, not all similar pairs."""
+    pick = random.Random(13)
+    word = lambda low, high: "".join(pick.choice("abcdefghijklmnop") for _ in range(pick.randint(low, high)))
+    base, texts = [[word(4, 8) for _ in range(n)] for n in (12, 16, 120)], {}
+    for i in range(90):
+        w = list(base[i % 3])
+        w[pick.randrange(len(w))] = word(3, 4)
+        texts[i] = " ".join(w if i < 84 else [word(4, 8) for _ in range(14)])
+    keys = {1: list(range(90)), 2: list(range(0, 90, 2))}
+    joined = {i: 0 if i % 3 == 0 and i < 60 else i for i in texts}  # 20 are one component before
+    placed = spark.createDataFrame([(k, i, len(m), joined[i]) for k, m in keys.items() for i in m], "key long, id long, c long, component long")
+    for name, value in (("HOT", 16), ("BLOCK", 8)):
+        monkeypatch.setattr(line_dedup, name, value)
+    got = [(r.a, r.b) for r in line_dedup._hot(placed, spark.createDataFrame(list(texts.items()), "id long, norm string"), 80).collect()]
+    pairs = [(a, b) for a in texts for b in texts if a < b < 84 and a % 3 == b % 3]
+    assert {(a, b) for a, b in got} <= set(pairs) and not any(joined[a] == joined[b] for a, b in got)
+    before = [(0, i) for i in texts if joined[i] == 0 and i]
+    assert components(list(texts), got + before) == components(list(texts), pairs)
+    assert len(got) < len(pairs) // 2
+
+
 def test_strip_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "a line of five words", 77, 88), (2, "a line of five words", 77, 88), (3, None, 1, 2), (4, "v" * 300_000, 1, 2), (4, "v" * 300_000, 1, 2), (None, "x", None, None)], "doc_id long, text string, n_lines int, n_gone int")
     got = sorted(((r.doc_id, r.text and len(r.text), r.n_lines, r.n_gone) for r in line_dedup.strip(df).collect()), key=str)

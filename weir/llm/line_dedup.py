@@ -36,7 +36,7 @@ PERCENT = 80
 LONG = 512
 STAR_ROUNDS = 2
 #: Keys of more classes that are still apart are compared inside tasks, in squares of blocks of BLOCK.
-HOT, BLOCK = 32, 256
+HOT, BLOCK = 32, 128
 #: Bits of the bitmap of classes whose texts are wanted, 2 ** MAP_BITS / 8 bytes to each executor.
 MAP_BITS = 26
 #: What parts words besides spaces, and becomes one: all of Latin-1 but line breaks, letters and
@@ -127,23 +127,31 @@ def _open(placed: DataFrame) -> DataFrame:
 
 
 def _hot(placed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """a < b: the similar pairs of classes of different components that share a key of more than HOT.
+    """a < b: links that join all classes of different components that are similar and share a key of
+    more than HOT, in each cell a forest.
 
     All of a key's pairs are compared, each under the smallest key it shares, but none is a row: the
-    classes are dealt into blocks by length, two blocks meet in a row, and its pairs are formed and
-    verified by higher-order functions. A class goes to as many rows as its key has blocks."""
+    classes are dealt into blocks by component, two blocks meet in a row, a cell, and its pairs are
+    formed and verified by higher-order functions. Pairs that links of the cell, or components, join
+    already are left out, so a cell of n classes gives n - 1 links at most, however alike they are. A
+    class goes to as many rows as its key has blocks; blocks of one component don't meet."""
+    key = Window.partitionBy("key")
     hot = placed.where(F.col("c") > HOT).select("key", "id", "component")
     shared = hot.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("shared"))  # at most a number of keys that BLOCKS and AGREE fix
     letters = F.array_join(F.transform(F.split("norm", " "), _letter), "")
     own = texts.join(shared, "id").select("id", "shared", F.length("norm").alias("n"), F.size(F.split("norm", " ")).alias("words"), _longest(F.split("norm", " "), F.array().cast("array<string>")).alias("most"), "norm", letters.alias("letters"))
     own = own.withColumn("norm", F.when(F.col("n") <= LONG, F.col("norm")))  # of longer ones only words are compared
-    at = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("n", "id")) - 1) / BLOCK).cast("int")
-    dealt = hot.join(own, "id").withColumn("block", at).withColumn("top", F.max("block").over(Window.partitionBy("key")))
-    each = dealt.select("key", "block", F.struct("id", "component", "shared", "n", "words", "most", "norm", "letters").alias("m"), F.explode(F.sequence(F.lit(0), F.col("top"))).alias("other"))
+    # the places of a component within a key are consecutive, from start
+    places = {"place": F.row_number().over(key.orderBy("component", "id")) - 1, "start": F.rank().over(key.orderBy("component")) - 1, "size": F.count(F.lit(1)).over(Window.partitionBy("key", "component")), "top": F.floor((F.count(F.lit(1)).over(key) - 1) / BLOCK).cast("int")}
+    dealt = hot.withColumns(places).withColumns({"block": F.floor(F.col("place") / BLOCK).cast("int"), "at": F.col("place") % BLOCK, "one": F.ceil(F.col("start") / BLOCK), "last": F.floor((F.col("start") + F.col("size")) / BLOCK) - 1})
+    within = lambda block: block.between(F.col("one"), F.col("last"))
+    others = F.filter(F.sequence(F.lit(0), F.col("top")), lambda other: ~(within(F.col("block")) & within(other)))
+    each = dealt.join(own, "id").select("key", "block", F.struct("at", "id", "component", "shared", "n", "words", "most", "norm", "letters").alias("m"), F.explode(others).alias("other"))
     low = F.col("block") <= F.col("other")
     each = each.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     # a number of tasks is given: by bytes, adaptive execution would put all into a few
-    cell = each.repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "key", "i", "j").groupBy("key", "i", "j").agg(F.collect_list(F.when(low, F.col("m"))).alias("u"), F.collect_list(F.when(~low | (F.col("block") == F.col("other")), F.col("m"))).alias("v"))
+    cell = each.repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "key", "i", "j").groupBy("key", "i", "j").agg(F.collect_list(F.when(low, F.col("m"))).alias("u"), F.collect_list(F.when(~low, F.col("m"))).alias("v"))
+    cell = once(cell, "key", "i", "j", u=F.sort_array("u"), v=F.sort_array(F.when(F.col("i") < F.col("j"), F.col("v")).otherwise(F.col("u"))))
 
     def near(x: Column, y: Column) -> Column:
         long = F.greatest(x.n, y.n) > LONG
@@ -152,15 +160,26 @@ def _hot(placed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         lev = lambda a, b, budget: F.call_function("levenshtein", a, b, budget) >= 0
         # as in _similar(): a word turned costs so many characters at most
         few = F.floor(most(x.n, y.n) / (F.greatest(x.most, y.most) + 1)).cast("int")
-        by_words = like(x.words, y.words) & lev(x.letters, y.letters, most(x.words, y.words))
-        by_letters = like(x.n, y.n) & (lev(x.letters, y.letters, few) | lev(x.norm, y.norm, most(x.n, y.n)))
+        by_words = lev(x.letters, y.letters, most(x.words, y.words))
+        by_letters = lev(x.letters, y.letters, few) | lev(x.norm, y.norm, most(x.n, y.n))
         first = F.array_min(F.array_intersect(x.shared, y.shared)) == F.col("key")
         sized = F.when(long, like(x.words, y.words)).otherwise(like(x.n, y.n))
-        return (x.component != y.component) & sized & ((F.col("i") < F.col("j")) | (x.id < y.id)) & first & F.when(long, by_words).otherwise(by_letters)
+        return sized & first & F.when(long, by_words).otherwise(by_letters)
 
-    pair = lambda x, y: F.struct(F.least(x.id, y.id).alias("a"), F.greatest(x.id, y.id).alias("b"))
-    found = F.flatten(F.transform("u", lambda x: F.transform(F.filter("v", lambda y: near(x, y)), lambda y: pair(x, y))))
-    return cell.select(F.inline(found))
+    # labels: of the cell's members, u then v, what joins them; members that are joined have one label
+    shift = F.when(F.col("i") < F.col("j"), F.size("u")).otherwise(0)
+
+    def step(state: Column, x: Column, y: Column) -> Column:
+        ours, theirs = F.get(state.labels, x["at"]), F.get(state.labels, y["at"] + shift)
+        labels = F.transform(state.labels, lambda label: F.when(label == theirs, ours).otherwise(label))
+        pair = F.struct(F.least(x.id, y.id).alias("a"), F.greatest(x.id, y.id).alias("b"))
+        met = ((F.col("i") < F.col("j")) | (x["at"] < y["at"])) & (ours != theirs) & near(x, y)
+        return F.when(met, F.struct(labels.alias("labels"), F.concat(state.links, F.array(pair)).alias("links"))).otherwise(state)
+
+    labels = F.transform(F.when(F.col("i") < F.col("j"), F.concat("u", "v")).otherwise(F.col("u")), lambda m: m.component)
+    none = F.struct(labels.alias("labels"), F.array().cast("array<struct<a: bigint, b: bigint>>").alias("links"))
+    forest = F.aggregate("u", none, lambda state, x: F.aggregate("v", state, lambda state, y: step(state, x, y)))
+    return cell.select(F.inline(forest.links))
 
 
 def _among(rows: DataFrame, named: DataFrame) -> DataFrame:
@@ -202,9 +221,13 @@ def links(lines: DataFrame, cls: DataFrame, scratch: Scratch, percent: int = PER
             found.append(_hot(placed, texts, percent))
         if found:
             tried = tried.union(fresh_pairs)
-            for f in found:
-                good = good.union(scratch.table(f))
-            comp = components(good, scratch)
+            more = [scratch.table(f) for f in found]
+            # a component's links so far count as a star, so that a round starts from labels that are settled
+            joins = comp.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            for m in more:
+                good, joins = good.union(m), joins.union(m)
+            old, comp = comp, components(joins, scratch)
+            scratch.drop(old)
         scratch.drop(placed)
     scratch.drop(posts, wanted, texts, tried)
     return good, comp
