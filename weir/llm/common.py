@@ -31,6 +31,9 @@ class Scratch:
     until the cluster clears the folder.
     """
 
+    #: Rows that a file of a table of narrow, counted rows holds at least, where there are so many.
+    ROWS_A_FILE = 100_000
+
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.base = spark, f"{shared_folder(spark)}/weir-{uuid.uuid4().hex}"
         self.count = 0
@@ -44,6 +47,10 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         return self.spark.read.schema(df.schema).parquet(self.write(df))
 
+    def narrow(self, df: DataFrame, rows: int) -> DataFrame:
+        """table() of a few numbers a row and about so many rows, in no more files than they are worth."""
+        return self.table(df.coalesce(1 + rows // self.ROWS_A_FILE))
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for t in tables:
@@ -115,12 +122,13 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     links = links.where("a is not null and b is not null and a <> b")
     both = scratch.table(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = scratch.table(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
+    rows = both.count()
+    labels = scratch.narrow(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), rows)
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         lowered = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jumped = lowered.join(labels.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left").select("id", "old", F.least("component", F.coalesce("up", "component")).alias("component"))
-        new = scratch.table(jumped)
+        new = scratch.narrow(jumped, rows)
         changed = not new.where("old <> component").limit(1).isEmpty()
         scratch.drop(labels)
         labels = new.select("id", "component")
