@@ -280,6 +280,19 @@ def test_links_of_hot_keys_are_forests(spark, monkeypatch):
     assert len(got) < len(pairs) // 2
 
 
+def test_small_components_are_one_file(spark):
+    """Labels are written by their number, not a file a task; chains keep their components."""
+    from weir.llm.common import Scratch, components
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = components(spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19], "a long, b long"), Scratch(spark))
+        assert {r.id: r.component for r in got.collect()} == {i: i // 20 * 20 for i in range(60)}
+        assert len(got.inputFiles()) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_strip_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, "a line of five words", 77, 88), (2, "a line of five words", 77, 88), (3, None, 1, 2), (4, "v" * 300_000, 1, 2), (4, "v" * 300_000, 1, 2), (None, "x", None, None)], "doc_id long, text string, n_lines int, n_gone int")
     got = sorted(((r.doc_id, r.text and len(r.text), r.n_lines, r.n_gone) for r in line_dedup.strip(df).collect()), key=str)
