@@ -239,6 +239,49 @@ def test_texts_wanted_by_bitmap(spark):
     assert set(range(-2996, 3000, 7)) <= got and len(got) < 900
 
 
+def test_only_keys_and_texts_of_pairs_are_shuffled(spark, monkeypatch):
+    """A row a key is two numbers when it is dealt out; of the texts those of pairs go, the first
+    side's not at all. Beyond what may be broadcast, bitmaps choose them and links are the same."""
+    from weir.llm.common import Scratch
+
+    def dealt(df):
+        """The columns of each shuffle."""
+        todo, found = [df._jdf.queryExecution().executedPlan()], []
+        while todo:
+            node = todo.pop()
+            if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+                todo.append(node.initialPlan())
+                continue
+            if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+                found.append(sorted(node.output().apply(i).name() for i in range(node.output().size())))
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        return found
+
+    asked, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df: asked.append(dealt(df)) or table(self, df))
+    cls = spark.createDataFrame([(i, *[1000 * (i // 2) + k for k in range(5)]) for i in range(20)], "id long, w0 long, w1 long, w2 long, w3 long, w4 long")
+    posts = line_dedup.posts_of(cls, Scratch(spark))
+    assert sorted((r.id, r.lo) for r in posts.collect()) == [(i, i // 2 * 2) for i in range(20)]
+    assert asked[0] == [["id", "key"]]
+    monkeypatch.undo()
+    texts = spark.createDataFrame([(i, f"one two three four five six seven eight {i // 2}") for i in range(200)], "id long, norm string")
+    pairs = spark.createDataFrame([(0, 1), (0, 150), (4, 5), (6, 90)], "a long, b long")
+    wanted = [(0, 1), (0, 150), (4, 5), (6, 90)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = line_dedup._similar(pairs, texts, 80)
+        assert ["a", "s"] not in dealt(near) and ["b", "t"] in dealt(near)
+        assert "LeftSemi" in near._jdf.queryExecution().toString()
+        assert sorted((r.a, r.b) for r in near.collect()) == wanted
+        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+        assert sorted((r.a, r.b) for r in line_dedup._similar(pairs, texts, 80).collect()) == wanted
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    docs = [(i, f"{line}\nall rights reserved") for i, line in enumerate(["a line of words that are alike", "a line of words that are alike!", "a line of words that were alike", "nothing else is as this one"])]
+    got = {r.doc_id: r.n_gone for r in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), short=True).collect()}
+    assert got == {0: 0, 1: 2, 2: 2, 3: 1}
+
+
 def test_lines_with_a_common_passage(spark, monkeypatch):
     """Unlike lines that share their longest words: all their pairs are compared, in several blocks,
     but few of them are rows. Links as by brute force."""
