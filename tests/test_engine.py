@@ -91,6 +91,24 @@ def test_strategies(golden, strategy, node):
     assert golden.run_batch([text], strategy=strategy, rules=()) == ["9 13"]
 
 
+@pytest.mark.parametrize(
+    "text,nodes,absent,answer",
+    [
+        ("0 1|0.0=1.0|0.1 1.1", ["SortMergeJoin"], "BroadcastHashJoin", "1499998500000 999999000000"),  # neither side fits
+        ("2 1|0.0=1.0|0.1 1.1", ["BroadcastHashJoin Inner BuildLeft"], "SortMergeJoin", "147 42"),
+        ("0 1|0.0=1.0&1.1<10|0.1 1.1", ["BroadcastHashJoin Inner BuildRight"], "SortMergeJoin", "30 20"),  # its filter leaves five rows
+        ("3 4 3|0.0=1.0&1.1=2.1|0.0 2.1", ["BroadcastHashJoin Inner BuildRight", "SortMergeJoin"], "BuildLeft", "19999900000 39999800000"),  # one fits, two don't
+    ],
+)
+def test_broadcast_as_far_as_it_fits(spark, text, nodes, absent, answer):
+    e = Engine(spark)
+    for rows, by in ((1_000_000, 3), (1_000_000, 2), (7, 7), (200_000, 2), (200_000, 2)):
+        e.register(spark.range(rows).selectExpr("id", f"id * {by}"), not_null=True)
+    plan = e.explain(text, strategy="broadcast", rules=())
+    assert all(n in plan for n in nodes) and absent not in plan
+    assert e.run_batch([text], strategy="broadcast", rules=()) == [answer]
+
+
 def random_spec(rng, widths):
     n = rng.randint(1, 4)
     relations = tuple(rng.randrange(len(widths)) for _ in range(n))

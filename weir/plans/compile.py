@@ -3,7 +3,8 @@
 Leaves project and filter (both reach the Parquet scan); a leaf may be aggregated on its join
 columns first, so that a many-to-many join never enumerates its pairs; joins carry one equality
 per class, which covers composite keys and cycles; one global aggregation ends the plan. Physical
-strategy is Catalyst's and AQE's, unless a hint is asked for.
+strategy is Catalyst's and AQE's, unless a hint is asked for. A broadcast that is asked for is done
+as far as counted rows fit; beyond, that join merges.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from weir.spec import Interval, QuerySpec, Ref
 STRATEGIES = {"broadcast": "broadcast", "merge": "merge", "shuffle_hash": "shuffle_hash", "nested_loop": "shuffle_replicate_nl"}
 #: Rows per join key from which aggregating before the join pays.
 EAGER_ROWS_PER_KEY = 4
+#: What the hash tables of one query may take in the driver, and about what a row of them takes, besides each of its columns.
+BROADCAST_BYTES, ROW_BYTES, COLUMN_BYTES = 32 << 20, 96, 24
 
 
 class PlanError(ValueError):
@@ -55,6 +58,16 @@ class Compiler:
         if strategy is not None and strategy not in STRATEGIES:
             raise PlanError(f"strategy is one of {', '.join(STRATEGIES)}")
         self.catalog, self.stats, self.rules, self.strategy, self.allow_cross = catalog, stats, rules, strategy, allow_cross
+        self.room = BROADCAST_BYTES
+
+    def _fits(self, df: DataFrame) -> bool:
+        """df's rows, counted after its filters, fit what this query may still broadcast; they take their part of it."""
+        self.stats.jobs += 1
+        size = df.count() * (ROW_BYTES + COLUMN_BYTES * len(df.columns))
+        if size > self.room:
+            return False
+        self.room -= size
+        return True
 
     def compile(self, spec: QuerySpec) -> Compiled:
         for b in spec.bindings:
@@ -153,8 +166,14 @@ class Compiler:
         df, seen = leaf(done[0]), {done[0]}
         for b in done[1:]:
             right = leaf(b)
-            if self.strategy:
-                right = right.hint(STRATEGIES[self.strategy])
+            strategy = self.strategy
+            if strategy == "broadcast" and not self._fits(right):
+                if len(seen) == 1 and self._fits(df):
+                    df, strategy = df.hint(STRATEGIES[strategy]), None
+                else:  # by the hint, as Catalyst may broadcast what is small only in its files
+                    strategy = "merge"
+            if strategy:
+                right = right.hint(STRATEGIES[strategy])
             keys = key_columns(spec, b, seen)
             condition = reduce(lambda a, c: a & c, [F.col(own.name) == F.col(rest[0].name) for own, *rest in keys])
             df = df.join(right, condition, "inner")
